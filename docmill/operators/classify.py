@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docmill.functions.columns import settle
 from docmill.functions.patterns import KEYWORDS
 
 
@@ -55,9 +56,12 @@ def classify(df: DataFrame, body: str = "body") -> DataFrame:
             F.lit("."),
         )
     )
-    return df.select(
-        *kept,
-        "document_type",
-        confidence.alias("classification_confidence"),
-        reasoning.alias("reasoning"),
+    return settle(
+        df,
+        kept,
+        {
+            "document_type": F.col("document_type"),
+            "classification_confidence": confidence,
+            "reasoning": reasoning,
+        },
     )

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docmill.functions import patterns as P
+from docmill.functions.columns import settle
 from docmill.functions.text import blank_to_null, java_regex, strip, to_float
 from docmill.schemas import FIELD_TYPES, FIELDS, LINE_ITEM, build_fields, default_value
 
@@ -196,11 +197,14 @@ def extract(
             is_type = F.col(document_type) == name
             branch = F.when(is_type, value) if branch is None else branch.when(is_type, value)
         confidence = branch.otherwise(F.lit(0.6))
-    return df.select(
-        *kept,
-        build_fields(values).alias("fields"),
-        confidence.alias("extraction_confidence"),
-        error.alias("extraction_error"),
+    return settle(
+        df,
+        kept,
+        {
+            "fields": build_fields(values),
+            "extraction_confidence": confidence,
+            "extraction_error": error,
+        },
     )
 
 

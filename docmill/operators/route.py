@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docmill.functions.columns import settle
 from docmill.functions.text import float_repr
 from docmill.schemas import build_fields, empty_findings, empty_issues
 from docmill.settings import Rules, Settings
@@ -124,12 +125,8 @@ def route(df: DataFrame, rules: Rules, settings: Settings) -> DataFrame:
             F.when(condition, chosen) if cascade is None else cascade.when(condition, chosen)
         )
     cascade = cascade.otherwise(decision("auto_approve", F.lit("All checks passed.")))
-    df = df.withColumn("_decision", cascade)
-    return df.select(
-        *kept,
-        F.col("_decision.route").alias("route"),
-        F.col("_decision.reason").alias("route_reason"),
-    )
+    df = df.select(*kept, F.inline(F.array(cascade)))
+    return df.withColumnRenamed("reason", "route_reason")
 
 
 def assemble_result(df: DataFrame, processed_at: Column, crashed: Column | None = None) -> DataFrame:

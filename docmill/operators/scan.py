@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docmill.functions.columns import settle
 from docmill.functions.patterns import INJECTION, PII
 from docmill.functions.pii import pii_count
 from docmill.functions.text import (
@@ -60,12 +61,13 @@ def injection_findings(df: DataFrame, text: str, out: str) -> DataFrame:
                 ),
             )
         )
-    return df.select(*kept, present(items, FINDING).alias(out))
+    return settle(df, kept, {out: present(items, FINDING)})
 
 
 def pii_counts(df: DataFrame, text: str) -> DataFrame:
     """Add one ``n_<kind>`` column per kind of personal data."""
-    return df.withColumns({f"n_{label}": pii_count(F.col(text), label) for label, _, _ in PII})
+    counts = {f"n_{label}": pii_count(F.col(text), label) for label, _, _ in PII}
+    return settle(df, df.columns, counts)
 
 
 def pii_findings(df: DataFrame, text: str, out: str) -> DataFrame:
@@ -86,7 +88,7 @@ def entry_findings(df: DataFrame, text: str = "scan_text", enabled: bool = True)
     kept = df.columns
     df = injection_findings(df, text, "_injection")
     df = pii_findings(df, text, "_pii")
-    return df.select(*kept, F.concat("_injection", "_pii").alias("entry_findings"))
+    return settle(df, kept, {"entry_findings": F.concat("_injection", "_pii")})
 
 
 def sensitive_findings(fields: Column) -> list[Column]:
@@ -169,5 +171,5 @@ def field_findings(
     )
     items = grounding_findings(record, F.col("_haystack"), F.col("_digits"))
     items += sensitive_findings(record)
-    return df.select(*kept, present(items, FINDING).alias(out))
+    return settle(df, kept, {out: present(items, FINDING)})
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from docmill.functions.columns import settle
 from docmill.functions.text import float_repr, java_regex, parse_iso_date, round2, strip
 from docmill.schemas import FIELD_TYPES, ISSUE, issue, present
 from docmill.settings import Rules
@@ -281,12 +282,10 @@ def validate(
         else:
             required, specific = required.when(kind == name, must), specific.when(kind == name, extra)
     none = F.array().cast(T.ArrayType(ISSUE))
-    return df.select(
-        *kept,
-        F.concat(
-            required.otherwise(none), present(date_issues(record), ISSUE), specific.otherwise(none)
-        ).alias(out),
+    issues = F.concat(
+        required.otherwise(none), present(date_issues(record), ISSUE), specific.otherwise(none)
     )
+    return settle(df, kept, {out: issues})
 
 
 def vendors_off_list(vendors: DataFrame, whitelist: DataFrame, vendor: str, entry: str) -> DataFrame:

@@ -9,19 +9,27 @@ from pyspark.sql import types as T
 DOCUMENT_TYPES = ("invoice", "contract", "resume", "id_document", "unknown")
 SENSITIVE_FIELDS = ("date_of_birth", "id_number", "vendor_bank_details")
 
-LINE_ITEM = T.StructType.fromDDL(
-    "description string, quantity double, unit_price double, amount double,"
-    " line_total double, hsn_sac_code string, tax_rate double"
-)
-WORK = T.StructType.fromDDL(
-    "company string, title string, start_date string, end_date string,"
-    " responsibilities array<string>"
+_STRINGS = T.ArrayType(T.StringType())
+_MAP = T.MapType(T.StringType(), T.StringType())
+
+
+def _typed(dtype: T.DataType, names: str) -> list[T.StructField]:
+    return [T.StructField(name, dtype) for name in names.split()]
+
+
+LINE_ITEM = T.StructType(
+    _typed(T.StringType(), "description")
+    + _typed(T.DoubleType(), "quantity unit_price amount line_total")
+    + _typed(T.StringType(), "hsn_sac_code")
+    + _typed(T.DoubleType(), "tax_rate")
 )
-EDUCATION = T.StructType.fromDDL(
-    "institution string, degree string, field string, graduation_year string"
+WORK = T.StructType(
+    _typed(T.StringType(), "company title start_date end_date")
+    + _typed(_STRINGS, "responsibilities")
 )
-ISSUE = T.StructType.fromDDL("field string, message string, severity string")
-FINDING = T.StructType.fromDDL("category string, message string, severity string, detail string")
+EDUCATION = T.StructType(_typed(T.StringType(), "institution degree field graduation_year"))
+ISSUE = T.StructType(_typed(T.StringType(), "field message severity"))
+FINDING = T.StructType(_typed(T.StringType(), "category message severity detail"))
 
 # Values that stand in for an explicit or implicit null. Every other field is
 # nullable; arrays and maps are never null.
@@ -35,14 +43,6 @@ RECORD_DEFAULTS: dict[str, object] = {
     "institution": "",
 }
 
-_STRINGS = T.ArrayType(T.StringType())
-_MAP = T.MapType(T.StringType(), T.StringType())
-
-
-def _typed(dtype: T.DataType, names: str) -> list[T.StructField]:
-    return [T.StructField(name, dtype) for name in names.split()]
-
-
 # One superset record over all document types; fields of other types stay null
 # or empty.
 FIELDS = T.StructType(

@@ -27,7 +27,7 @@ def _open_counts(
         both = counts.unionByName(used)
         counts = both.groupBy(*group).agg(F.sum("_used").alias("_used"))
     # One row, so the comparison needs no shuffle of the counts.
-    return counts.join(F.broadcast(last), F.col(slot) >= F.col("_last")).drop("_last")
+    return counts.join(F.broadcast(last), F.col(slot) >= F.coalesce("_last", F.lit(0))).drop("_last")
 
 
 def start_quota(

@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docmill.functions.columns import settle
+
 NL = "chr(10)"
 
 
@@ -89,7 +91,6 @@ INVOICES = (
                 _when("fault = 18", "'From - '", "'Vendor: '"),
                 "vendor",
                 NL,
-                _when("fault = 7", _cat("'Due Date: '", _s("past"), NL)),
                 "'Invoice #: INV-'",
                 _s("k"),
                 NL,
@@ -98,7 +99,11 @@ INVOICES = (
                     _cat("'Date: 2026-02-30'", NL),
                     _when("fault = 17", "''", _cat("'Date: '", _s("day"), NL)),
                 ),
-                _when("fault <> 7", _cat("'Due date: '", _s("due"), NL)),
+                _when(
+                    "fault = 7",
+                    _cat("'Due Date: '", _s("past"), NL),
+                    _cat("'Due date: '", _s("due"), NL),
+                ),
                 _when("fault = 5", _cat("'GSTIN: 12-BAD'", NL)),
                 _when("fault = 11", _cat("'Tax ID: 12-3456789'", NL)),
                 _when("fault = 12", _cat("'Contact: billing'", _s("k"), "'@example.com, 415-555-0100'", NL)),
@@ -260,20 +265,128 @@ CORPORA = {
     "id_document": IDS,
     "unknown": UNKNOWN,
 }
+KINDS = tuple(CORPORA)
+
+
+def _json_text(expr: str) -> str:
+    return _cat("'\"'", expr, "'\"'")
+
+
+# Labelled examples for the invoices, as JSON lines; some lines are malformed.
+GOLDEN = (
+    "orders",
+    [
+        *INVOICES[1][:3],
+        {
+            "value": "CASE WHEN k % 31 = 0 THEN '  ' WHEN k % 37 = 0 THEN '{broken'"
+            " WHEN k % 41 = 0 THEN '{\"file\": \"x.txt\", \"expected_type\": \"invoice\"}' ELSE "
+            + _cat(
+                "'{\"name\": \"inv-'",
+                _s("k"),
+                "'\", \"file\": \"inv-'",
+                _s("k"),
+                "'.txt\"'",
+                _when("k % 3 = 0", "', \"mime_type\": \"text/markdown\"'"),
+                "', \"expected_type\": '",
+                _when("k % 13 = 0", "'\"contract\"'", "'\"invoice\"'"),
+                _when(
+                    "k % 17 <> 0",
+                    _cat(
+                        "', \"expected_fields\": {\"vendor_name\": '",
+                        _json_text("upper(vendor)"),
+                        "', \"total_amount\": '",
+                        _money("stated"),
+                        "', \"invoice_number\": \" inv-'",
+                        _s("k"),
+                        "'  \", \"due_date\": '",
+                        _json_text(_s("due")),
+                        "'}'",
+                    ),
+                ),
+                _when(
+                    "k % 7 <> 0",
+                    _cat(
+                        "', \"expected_route\": '",
+                        _json_text(
+                            "CASE WHEN fault IN (1, 3, 4, 6, 7, 8, 13, 19) THEN 'reject'"
+                            " WHEN fault IN (2, 5, 18) OR stated > 1000000 THEN 'flag_for_review'"
+                            " ELSE 'auto_approve' END"
+                        ),
+                    ),
+                ),
+                "'}'",
+            )
+            + " END",
+        },
+    ],
+)
+
+# Model answers of varying quality.
+PAYLOADS = (
+    "customer",
+    [
+        {"k": "c_custkey", "fault": "c_custkey % 16", "who": "c_name"},
+        {
+            "payload": "CASE fault"
+            " WHEN 2 THEN 'I could not read it.'"
+            " WHEN 15 THEN '[1, 2]'"
+            " ELSE "
+            + _cat(
+                _when("fault = 1", _cat("'```json'", NL)),
+                _when("fault = 14", "'Here is the JSON: '"),
+                "'{\"document_type\": '",
+                _when("k % 5 = 0", "'\"Receipt\"'", _when("k % 5 = 1", "'null'", "'\"Invoice\"'")),
+                _when("fault = 13", "', \"confidence\": 0'", _when("fault = 14", "', \"confidence\": \"0.55\"'", _when("fault = 9", "''", "', \"confidence\": 0.9'"))),
+                _when("k % 3 = 0", "', \"reasoning\": \"looks so\"'"),
+                "', \"vendor_name\": '",
+                _when("fault = 4", "'null'", _when("fault = 7", "'5'", _json_text("who"))),
+                _when(
+                    "fault = 13",
+                    "', \"grand_total\": true'",
+                    _cat(
+                        "', \"total_amount\": '",
+                        _when("fault = 5", "'\"1_000.5\"'", _when("fault = 6", "'\"1,000\"'", _cat(_s("k"), "'.5'"))),
+                    ),
+                ),
+                _when("fault = 8", "', \"signatures_present\": \"Yes\"'"),
+                _when("fault = 9", "', \"signatures_present\": 2'"),
+                _when("fault = 10", "', \"parties\": [\"A\", \"B\"], \"party_roles\": {\"A\": \"client\"}'"),
+                _when("fault = 11", "', \"party_names\": [\"A\", 3]'"),
+                _when("fault = 3", "', \"line_items\": \"none\"'"),
+                _when("fault = 4", "', \"line_items\": null, \"education\": [{\"institution\": null}]'"),
+                _when("fault = 12", "', \"line_items\": [{\"amount\": 1}, {\"quantity\": \"x\"}]'"),
+                _when(
+                    "fault IN (0, 1, 5)",
+                    _cat("', \"line_items\": [{\"description\": \"a\", \"line_total\": '", _s("k"), "'}, {\"amount\": \"2.5\", \"quantity\": null}]'"),
+                ),
+                _when("fault = 14", "', \"colour\": \"red\"'"),
+                "'}'",
+                _when("fault = 1", _cat(NL, "'```'")),
+            )
+            + " END",
+        },
+    ],
+)
+CORPORA |= {"golden": GOLDEN, "payload": PAYLOADS}
+CORPUS_COLUMNS = {"golden": ("k", "value"), "payload": ("k", "payload")}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def apply_steps(df: DataFrame, steps: list[dict[str, str]]) -> DataFrame:
+    for i, step in enumerate(steps):
+        kept = [] if i == 0 else [c for c in df.columns if c not in step]
+        df = df.selectExpr(*kept, *[f"{expr} AS {name}" for name, expr in step.items()])
+    return df
+
+
 def render(spark: SparkSession, sf_dir: str, kind: str, *columns: str) -> DataFrame:
     """Documents of one kind: ``job_id``, ``text`` and any named helper columns."""
     source, steps = CORPORA[kind]
-    df = table(spark, sf_dir, source)
-    for i, step in enumerate(steps):
-        kept = [] if i == 0 or "text" in step and "text" in df.columns else ["*"]
-        df = df.selectExpr(*kept, *[f"{expr} AS {name}" for name, expr in step.items()])
-    return df.select("job_id", "text", *columns)
+    df = apply_steps(table(spark, sf_dir, source), steps)
+    return df.select(*CORPUS_COLUMNS.get(kind, ("job_id", "text")), *columns)
 
 
 def render_sql(kind: str, *columns: str) -> str:
@@ -285,18 +398,19 @@ def render_sql(kind: str, *columns: str) -> str:
         cols = ", ".join([*kept, *[f"{expr} AS {name}" for name, expr in step.items()]])
         inner = sql if i == 0 else f"({sql})"
         sql = f"SELECT {cols} FROM {inner}"
-    return f"SELECT {', '.join(['job_id', 'text', *columns])} FROM ({sql})"
+    names = [*CORPUS_COLUMNS.get(kind, ("job_id", "text")), *columns]
+    return f"SELECT {', '.join(names)} FROM ({sql})"
 
 
 def mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All five kinds of documents."""
-    parts = [render(spark, sf_dir, kind) for kind in CORPORA]
+    parts = [render(spark, sf_dir, kind) for kind in KINDS]
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
     # Keeps the plan that follows above the union instead of once per branch.
-    return out.select(F.inline(F.array(F.struct("job_id", "text"))))
+    return settle(out, [], {"job_id": F.col("job_id"), "text": F.col("text")})
 
 
 def mixed_sql() -> str:
-    return " UNION ALL ".join(render_sql(kind) for kind in CORPORA)
+    return " UNION ALL ".join(render_sql(kind) for kind in KINDS)
