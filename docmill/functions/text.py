@@ -21,7 +21,8 @@ WHITESPACE = "".join(
 )
 REPLACEMENT_CHARACTER = chr(0xFFFD)
 
-_SPACE = "".join(rf"\x{{{ord(c):x}}}" for c in WHITESPACE)
+# The same set: control characters, next line, and the separator category.
+_SPACE = r"\t-\r\x1c-\x20\x85\p{Z}"
 # The leading ASCII class only makes the common case cheaper.
 _WORD = r"[a-zA-Z0-9_\p{L}\p{N}]"
 _BOUNDARY = rf"(?:(?<={_WORD})(?!{_WORD})|(?<!{_WORD})(?={_WORD}))"

@@ -34,31 +34,37 @@ def first_match(text: Column, pattern: str, group: int = 1) -> Column:
     return F.regexp_extract(text, java_regex(pattern, ignore_case=True), group)
 
 
-def _groups(body: Column, group: int) -> Column:
+def line_item_matches(body: Column) -> Column:
+    """All ``qty x description @ $unit = $amount`` spans of a text."""
     pattern = F.lit(java_regex(P.LINE_ITEM, ignore_case=True))
-    return F.regexp_extract_all(body, pattern, F.lit(group))
-
+    return F.when(
+        F.contains(body, F.lit("@")), F.regexp_extract_all(body, pattern, F.lit(0))
+    ).otherwise(F.array().cast("array<string>"))
 
-def line_item_columns(body: Column) -> dict[str, Column]:
-    """The four parts of all ``qty x description @ $unit = $amount`` lines."""
-    return {
-        name: _groups(body, i)
-        for i, name in enumerate(["_qty", "_description", "_unit", "_amount"], start=1)
-    }
 
+def line_item_parts(matches: Column) -> Column:
+    """The four parts of each span. A span matches itself, so the long text is
+    searched once and not once per part."""
+    return F.transform(
+        matches,
+        lambda m: F.struct(
+            *[
+                first_match(m, P.LINE_ITEM, i).alias(name)
+                for i, name in enumerate(["qty", "description", "unit", "amount"], start=1)
+            ]
+        ),
+    )
 
-def build_line_items() -> Column:
-    """Line items from the four part columns; bad numbers become null."""
 
-    def number(i: Column, name: str) -> Column:
-        return F.get(F.col(name), i).try_cast("double")
+def build_line_items(parts: Column) -> Column:
+    """Line items from their parts; bad numbers become null."""
 
-    def item(_, i: Column) -> Column:
-        amount = number(i, "_amount")
+    def item(part: Column) -> Column:
+        amount = part["amount"].try_cast("double")
         values = {
-            "description": strip(F.get(F.col("_description"), i)),
-            "quantity": number(i, "_qty"),
-            "unit_price": number(i, "_unit"),
+            "description": strip(part["description"]),
+            "quantity": part["qty"].try_cast("double"),
+            "unit_price": part["unit"].try_cast("double"),
             "amount": amount,
             "line_total": amount,
         }
@@ -69,21 +75,16 @@ def build_line_items() -> Column:
             ]
         )
 
-    return F.transform(F.col("_qty"), item)
+    return F.transform(parts, item)
 
 
-def line_item_error() -> Column:
+def line_item_error(parts: Column) -> Column:
     """Message for the first number in the line items that is none, else null.
 
     The pattern admits digits and dots in any order, such as ``1.2.3``; one such
     number fails the document.
     """
-    numbers = F.flatten(
-        F.transform(
-            F.col("_unit"),
-            lambda unit, i: F.array(unit, F.get(F.col("_amount"), i)),
-        )
-    )
+    numbers = F.flatten(F.transform(parts, lambda p: F.array(p["unit"], p["amount"])))
     bad = F.filter(numbers, lambda x: x.try_cast("double").isNull())
     return F.when(
         F.size(bad) > 0, F.concat(F.lit(_BAD_NUMBER + "'"), F.get(bad, F.lit(0)), F.lit("'"))
@@ -116,8 +117,7 @@ def extract(
             group = 0 if field in _WHOLE_MATCH else 1
             raw[f"_{name}_{field}"] = when_type(name, first_match(text, pattern, group))
     if "invoice" in types:
-        for column, value in line_item_columns(text).items():
-            raw[column] = when_type("invoice", value)
+        raw["_lines"] = when_type("invoice", line_item_matches(text))
     if "contract" in types:
         for group in (1, 2):
             raw[f"_party{group}"] = when_type(
@@ -131,6 +131,8 @@ def extract(
             "resume", F.regexp_extract_all(text, F.lit(java_regex(P.LINKS)), F.lit(0))
         )
     df = df.withColumns(raw)
+    if "invoice" in types:
+        df = df.withColumn("_parts", line_item_parts(F.col("_lines")))
 
     def found(name: str, field: str) -> Column:
         return strip(blank_to_null(F.col(f"_{name}_{field}")))
@@ -148,8 +150,8 @@ def extract(
             offer(field, to_float(value) if number else value)
         offer("grand_total", to_float(found("invoice", "total_amount")))
         offer("currency", when_type("invoice", F.lit("USD")))
-        offer("line_items", build_line_items())
-        error = line_item_error()
+        offer("line_items", build_line_items(F.col("_parts")))
+        error = line_item_error(F.col("_parts"))
     if "contract" in types:
         for field in P.CONTRACT:
             offer(field, found("contract", field))

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docmill.functions.columns import settle
+from docmill.plans.documents import spread
 
 NL = "chr(10)"
 
@@ -385,7 +386,7 @@ def apply_steps(df: DataFrame, steps: list[dict[str, str]]) -> DataFrame:
 def render(spark: SparkSession, sf_dir: str, kind: str, *columns: str) -> DataFrame:
     """Documents of one kind: ``job_id``, ``text`` and any named helper columns."""
     source, steps = CORPORA[kind]
-    df = apply_steps(table(spark, sf_dir, source), steps)
+    df = apply_steps(spread(table(spark, sf_dir, source)), steps)
     return df.select(*CORPUS_COLUMNS.get(kind, ("job_id", "text")), *columns)
 
 

@@ -112,9 +112,12 @@ def entry(text: str = "scan") -> str:
 
 
 def redact(text: str) -> str:
+    # Letters beyond ASCII are flanked by ASCII letters while the patterns run,
+    # so that \b sees them as parts of words.
+    text = f"regexp_replace({text}, '([^\\x00-\\x7F])', 'qZ\\1Zq', 'g')"
     for label, _, placeholder in P.PII:
         text = f"regexp_replace({text}, {q(PII_SQL[label])}, {q(placeholder)}, 'g')"
-    return text
+    return f"replace(replace({text}, 'qZ', ''), 'Zq', '')"
 
 
 # --- Classification --------------------------------------------------------
