@@ -10,7 +10,7 @@ import time
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from check import session  # noqa: E402
-from workload.queries import QUERIES, flagship  # noqa: E402
+from workload.queries import QUERIES  # noqa: E402
 
 HEADLINE = (
     "document_results",
@@ -39,7 +39,7 @@ def main() -> None:
     spark.range(1000).selectExpr("sum(id)").collect()
     seconds, documents = {}, 0
     for name in ("flagship", *names):
-        run = flagship if name == "flagship" else QUERIES[name]
+        run = QUERIES[name]
         start = time.time()
         df = run(spark, sf_dir)
         if name == "flagship":

@@ -142,7 +142,8 @@ def decide(
             settings.quota_per_day,
             used_day,
         ).withColumnRenamed("_cutoff", "_day_cutoff")
-        df = df.join(limits, ["_day"], "left")
+        # At most one row per calendar day.
+        df = df.join(F.broadcast(limits), ["_day"], "left")
         over_day = F.coalesce(F.col("_at") > F.col("_day_cutoff"), F.lit(False))
     return df.select(
         *kept,

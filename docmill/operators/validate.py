@@ -288,17 +288,41 @@ def validate(
     return settle(df, kept, {out: issues})
 
 
+# A whitelist up to this many entries is sent to every task.
+MAX_BROADCAST_ENTRIES = 10_000
+
+
 def vendors_off_list(vendors: DataFrame, whitelist: DataFrame, vendor: str, entry: str) -> DataFrame:
-    """Vendors whose name contains no entry of a whitelist table.
+    """Vendors whose name contains no entry of a whitelist table, case ignored.
 
-    The list is configuration: it is checked to be small before it is sent to
-    all tasks, and a longer list is joined without the hint, on Spark's own
-    choice.
+    A short list is broadcast and compared with every name. A longer one is
+    joined by equality: a name contains an entry if one of its substrings of the
+    entry's length equals it.
     """
-    small = whitelist.select(F.lower(entry).alias("_entry")).distinct()
-    if len(small.take(MAX_BROADCAST_ENTRIES + 1)) <= MAX_BROADCAST_ENTRIES:
-        small = F.broadcast(small)
-    return vendors.join(small, F.contains(F.lower(vendor), F.col("_entry")), "left_anti")
-
+    listed = whitelist.select(F.lower(entry).alias("_entry")).dropna().distinct()
+    if len(listed.take(MAX_BROADCAST_ENTRIES + 1)) <= MAX_BROADCAST_ENTRIES:
+        return vendors.join(
+            F.broadcast(listed), F.contains(F.lower(vendor), F.col("_entry")), "left_anti"
+        )
+    # As many numbers at most as the longest entry has letters.
+    lengths = [row[0] for row in listed.select(F.length("_entry")).distinct().collect()]
+    name = F.col("_name")
+
+    def substrings(size: Column) -> Column:
+        starts = F.when(F.length(name) >= size, F.sequence(F.lit(1), F.length(name) - size + 1))
+        return F.transform(
+            F.coalesce(starts, F.array().cast("array<int>")),
+            lambda start: F.substring(name, start, size),
+        )
 
-MAX_BROADCAST_ENTRIES = 10_000
+    pieces = F.flatten(F.transform(F.array(*[F.lit(n) for n in lengths]), substrings))
+    hits = (
+        vendors.select(F.lower(vendor).alias("_name"))
+        .dropna()
+        .distinct()
+        .select("_name", F.explode(F.array_distinct(pieces)).alias("_entry"))
+        .join(listed, "_entry", "left_semi")
+        .select("_name")
+        .distinct()
+    )
+    return vendors.join(hits, F.lower(vendor) == F.col("_name"), "left_anti")

@@ -15,6 +15,8 @@ def scan_files(spark: SparkSession, path: str, glob: str | None = None) -> DataF
     """All files below a path: metadata, ``content``, guessed ``mime_type``.
 
     Filters on length and time reach the scan; ``content`` is read only if used.
+    Spark's file sources give no row for a file of zero bytes, so empty uploads
+    show up only in tables of upload metadata.
     """
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     if glob:

@@ -855,6 +855,11 @@ ORACLE["route_documents"] = with_(
     *ALL, final="SELECT job_id, document_type, route, route_reason FROM r"
 )
 ORACLE["document_results"] = with_(*ALL, final=RESULT_SQL)
+ORACLE["flagship"] = (
+    "SELECT document_type, status, route, count(*) AS documents FROM ("
+    + ORACLE["document_results"]
+    + ") GROUP BY ALL"
+)
 ORACLE["result_roundtrip"] = with_(
     *INVOICE_ALL,
     final="SELECT job_id, CASE WHEN error IS NULL THEN 'completed' ELSE 'failed' END AS status,"

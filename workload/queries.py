@@ -34,7 +34,7 @@ from docmill.operators.source_text import from_content, from_text
 from docmill.plans.documents import analyse, process_documents
 from docmill.plans.model import process_with_model
 from docmill.schemas import FIELDS, build_fields
-from docmill.settings import DEFAULT_RULES, Settings
+from docmill.settings import DEFAULT_RULES, SPARK_CONF, Settings
 from docmill.sources import documents as files
 from docmill.sources import golden, results
 from docmill.streaming.ingest import start_ingest
@@ -59,7 +59,12 @@ QUERIES: dict[str, Query] = {}
 
 
 def query(f: Query) -> Query:
-    QUERIES[f.__name__] = f
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        for key, value in SPARK_CONF.items():
+            spark.conf.set(key, value)
+        return f(spark, sf)
+
+    QUERIES[f.__name__] = run
     return f
 
 
@@ -902,6 +907,7 @@ def stream_quota(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
     """Documents per type, status and route."""
     df = processed(spark, sf)
