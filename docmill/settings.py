@@ -16,7 +16,7 @@ log = logging.getLogger(__name__)
 
 # Session settings that suit the document plan. Fused code of this size exceeds
 # what the JVM compiles; beyond the limit Spark runs the same projections as
-# smaller compiled methods, which takes about a third less time.
+# smaller compiled methods.
 SPARK_CONF = {"spark.sql.codegen.hugeMethodLimit": "8000"}
 
 
