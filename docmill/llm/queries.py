@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from docmill.llm import mixing, packing, token_counts
-from docmill.llm.shared import settled
+from docmill.llm import language, mixing, near_dups, neighbours, packing, quality, token_counts, toxicity
+from docmill.llm.shared import learn_fold, settled
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -24,6 +25,11 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+@query
+def op1_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
+    return quality.judge(table(spark, sf, "documents"))
+
+
 @query
 def op2_best_fit_packing(spark: SparkSession, sf: str) -> DataFrame:
     path = public_tokenizers.path("word_bpe_49k.json")
@@ -33,13 +39,41 @@ def op2_best_fit_packing(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query
+def op3_language_id(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    held_out = learn_fold("doc_id", 4) == 2
+    found = language.identify(docs, ~held_out)
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 @query
 def op5_token_counts(spark: SparkSession, sf: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.json")
     return token_counts.count_tokens(table(spark, sf, "documents"), path)
 
 
+@query
+def op6_nearest_neighbours(spark: SparkSession, sf: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 @query
 def op7_mixture(spark: SparkSession, sf: str) -> DataFrame:
     rows, _ = mixing.mix(table(spark, sf, "documents"))
     return rows.select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query
+def op8_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    held_out = learn_fold("doc_id", 5) == 0
+    index = toxicity.fit(docs, table(spark, sf, "labels"), ~held_out)
+    return toxicity.predict(docs, index).select(
+        "doc_id", held_out.alias("held_out"), "score", "predicted", "neighbours", "terms"
+    )
+
+
+@query
+def op9_near_duplicates(spark: SparkSession, sf: str) -> DataFrame:
+    return near_dups.near_duplicates(table(spark, sf, "documents"), shingle_words=2)
