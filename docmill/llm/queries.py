@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docmill.llm import language, mixing, near_dups, neighbours, packing, quality, token_counts, toxicity
+from docmill.llm import html_text, language, mixing, near_dups, neighbours, packing, quality, token_counts, toxicity
 from docmill.llm.shared import learn_fold, settled
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -77,3 +77,8 @@ def op8_toxicity(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def op9_near_duplicates(spark: SparkSession, sf: str) -> DataFrame:
     return near_dups.near_duplicates(table(spark, sf, "documents"), shingle_words=2)
+
+
+@query
+def op10_html_text(spark: SparkSession, sf: str) -> DataFrame:
+    return html_text.extract(table(spark, sf, "pages"))
