@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docmill.llm import html_text, language, mixing, near_dups, neighbours, packing, quality, token_counts, toxicity
+from docmill.llm import html_text, language, lm, mixing, near_dups, neighbours, packing, quality, token_counts, toxicity
 from docmill.llm.shared import learn_fold, settled
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -82,3 +82,20 @@ def op9_near_duplicates(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def op10_html_text(spark: SparkSession, sf: str) -> DataFrame:
     return html_text.extract(table(spark, sf, "pages"))
+
+
+@query
+def op4_lm_scores(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    held_out = learn_fold("doc_id", 7) == 2
+    found = lm.score(docs, ~held_out)
+    return found.select(
+        "doc_id",
+        held_out.alias("held_out"),
+        "n_tokens",
+        "n_known",
+        "train_tokens",
+        "base_score",
+        "score",
+        "bits_per_byte",
+    )
