@@ -8,6 +8,8 @@ widens them to a slightly different set.
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -19,7 +21,11 @@ WHITESPACE = "".join(
         + [*range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000],
     )
 )
-REPLACEMENT_CHARACTER = chr(0xFFFD)
+
+# Decimal digits of all scripts but ASCII, and the ASCII digits they stand for.
+_DIGITS = [c for c in map(chr, range(0x80, 0x110000)) if unicodedata.category(c) == "Nd"]
+OTHER_DIGITS = "".join(_DIGITS)
+AS_ASCII = "".join(str(unicodedata.decimal(c)) for c in _DIGITS)
 
 # The same set: control characters, next line, and the separator category.
 _SPACE = r"\t-\r\x1c-\x20\x85\p{Z}"
@@ -54,14 +60,32 @@ def blank_to_null(text: Column) -> Column:
 
 
 def to_float(text: Column) -> Column:
-    """Number with optional thousands separators, null if it is none."""
-    return F.replace(text, F.lit(","), F.lit("")).try_cast("double")
+    """Number in the digits of any script, with optional thousands separators; null if it is
+    none."""
+    plain = F.replace(text, F.lit(","), F.lit(""))
+    ascii_only = plain.rlike(r"\A[\x00-\x7f]*\z")
+    return F.when(ascii_only, plain).otherwise(
+        F.translate(plain, OTHER_DIGITS, AS_ASCII)
+    ).try_cast("double")
+
+
+# A run of valid UTF-8, on bytes read as one character each.
+_VALID_BYTES = (
+    r"(?:[\x00-\x7f]|[\xc2-\xdf][\x80-\xbf]|\xe0[\xa0-\xbf][\x80-\xbf]"
+    r"|[\xe1-\xec\xee\xef][\x80-\xbf]{2}|\xed[\x80-\x9f][\x80-\xbf]"
+    r"|\xf0[\x90-\xbf][\x80-\xbf]{2}|[\xf1-\xf3][\x80-\xbf]{3}|\xf4[\x80-\x8f][\x80-\xbf]{2})"
+)
 
 
 def decode_utf8(content: Column) -> Column:
-    """Bytes as text, dropping whatever is not valid UTF-8."""
-    text = F.make_valid_utf8(content.cast("string"))
-    return F.replace(text, F.lit(REPLACEMENT_CHARACTER), F.lit(""))
+    """Bytes as text, dropping whatever is not valid UTF-8 and nothing else.
+
+    Only content with an invalid byte is searched: read as Latin-1, runs of valid
+    sequences stay and other bytes go."""
+    text = content.cast("string")
+    bytes_ = F.decode(content, "ISO-8859-1")
+    rest = F.regexp_replace(bytes_, rf"({_VALID_BYTES}++)|[\x80-\xff]", "$1")
+    return F.when(F.is_valid_utf8(text), text).otherwise(F.encode(rest, "ISO-8859-1").cast("string"))
 
 
 def unify_newlines(text: Column) -> Column:
@@ -82,7 +106,10 @@ def let(value: Column, body) -> Column:
 # --- Numbers as text -------------------------------------------------------
 
 _SPLITTER = 134217729.0  # 2**27 + 1
-_EXACT_LIMIT = 1e13
+# Below the first limit 100 * x is a whole number that a double holds; from the second on every
+# double is a whole number.
+_PRODUCT_LIMIT = 1e13
+_WHOLE_LIMIT = 2.0**53
 
 
 def _cents(x: Column) -> Column:
@@ -103,33 +130,97 @@ def _cents(x: Column) -> Column:
     return floor + F.when(up, F.lit(1)).otherwise(F.lit(0))
 
 
+def _whole_and_cents(x: Column, body) -> Column:
+    """``body`` of the whole part and the hundredths of a non-negative number below 2**53. The
+    part behind the point of a large number has few bits, so both are exact."""
+
+    def parts(whole: Column) -> Column:
+        return let(
+            _cents(x - whole.cast("double")),
+            lambda cents: F.when(cents >= 100, body(whole + 1, cents - 100)).otherwise(
+                body(whole, cents)
+            ),
+        )
+
+    return let(F.floor(x), parts)
+
+
 def round2(value: Column) -> Column:
-    """Round a double to two decimals."""
+    """Round a double to two decimals. From 2**53 on doubles are whole numbers."""
+
+    def large(x: Column) -> Column:
+        size = _whole_and_cents(F.abs(x), lambda whole, cents: whole + cents / 100.0)
+        return F.when(x < 0, -size).otherwise(size)
+
     return let(
         value,
-        lambda x: F.when(F.abs(x) < _EXACT_LIMIT, _cents(x) / 100.0).otherwise(x),
+        lambda x: F.when(F.abs(x) < _PRODUCT_LIMIT, _cents(x) / 100.0)
+        .when(F.abs(x) < _WHOLE_LIMIT, large(x))
+        .otherwise(x),
     )
 
 
+def _whole_digits(x: Column) -> Column:
+    """All digits of a whole double, as exact as the double: its 53 bits as limbs of nine
+    digits, doubled as often as its exponent says, 29 times in one step."""
+    base = 10**9
+
+    def quotient(value: Column, by: int) -> Column:
+        return F.call_function("div", value, F.lit(by).cast("bigint"))
+
+    def times(limbs: Column, factor: Column) -> Column:
+        start = F.struct(
+            F.array().cast("array<bigint>").alias("out"), F.lit(0).cast("bigint").alias("carry")
+        )
+
+        def step(acc: Column, limb: Column) -> Column:
+            value = limb * factor + acc["carry"]
+            return F.struct(
+                F.concat(acc["out"], F.array(F.pmod(value, F.lit(base)))).alias("out"),
+                quotient(value, base).alias("carry"),
+            )
+
+        return F.aggregate(limbs, start, step, lambda acc: F.concat(acc["out"], F.array(acc["carry"])))
+
+    def digits(power: Column) -> Column:
+        bits = (x / F.pow(F.lit(2.0), power)).cast("bigint")
+        limbs = let(
+            bits,
+            lambda b: F.array(
+                F.pmod(b, F.lit(base)),
+                F.pmod(quotient(b, base), F.lit(base)),
+                quotient(b, base**2),
+            ),
+        )
+        first = times(limbs, F.pow(F.lit(2), F.pmod(power, F.lit(29))).cast("bigint"))
+        rounds = F.floor(power / 29).cast("int")
+        whole = F.aggregate(
+            F.array_repeat(F.lit(1 << 29).cast("bigint"), rounds), first, lambda acc, f: times(acc, f)
+        )
+        shown = F.transform(F.reverse(whole), lambda limb: F.lpad(limb.cast("string"), 9, "0"))
+        return F.ltrim(F.array_join(shown, ""), F.lit("0"))
+
+    exponent = F.greatest(F.floor(F.log2(x)) - 53, F.lit(0)).cast("int")
+    return let(exponent, digits)
+
+
 def format2(value: Column) -> Column:
     """A double with two decimals, as ``%.2f`` prints it."""
 
     def body(x: Column) -> Column:
-        cents = F.abs(_cents(x))
+        sign = F.when(x < 0, F.lit("-")).otherwise(F.lit(""))
+        small = _whole_and_cents(
+            F.abs(x),
+            lambda whole, cents: F.concat(
+                whole.cast("string"), F.lit("."), F.lpad(cents.cast("string"), 2, "0")
+            ),
+        )
         return (
             F.when(F.isnan(x), F.lit("nan"))
             .when(x == float("inf"), F.lit("inf"))
             .when(x == float("-inf"), F.lit("-inf"))
-            .when(
-                F.abs(x) < _EXACT_LIMIT,
-                F.concat(
-                    F.when(x < 0, F.lit("-")).otherwise(F.lit("")),
-                    F.floor(cents / 100).cast("string"),
-                    F.lit("."),
-                    F.lpad((cents % 100).cast("string"), 2, "0"),
-                ),
-            )
-            .otherwise(x.try_cast("decimal(38,2)").cast("string"))
+            .when(F.abs(x) < _WHOLE_LIMIT, F.concat(sign, small))
+            .otherwise(F.concat(sign, _whole_digits(F.abs(x)), F.lit(".00")))
         )
 
     return F.when(value.isNotNull(), let(value, body))

@@ -288,24 +288,16 @@ def validate(
     return settle(df, kept, {out: issues})
 
 
-# A whitelist up to this many entries is sent to every task.
-MAX_BROADCAST_ENTRIES = 10_000
-
-
 def vendors_off_list(vendors: DataFrame, whitelist: DataFrame, vendor: str, entry: str) -> DataFrame:
     """Vendors whose name contains no entry of a whitelist table, case ignored.
 
-    A short list is broadcast and compared with every name. A longer one is
-    joined by equality: a name contains an entry if one of its substrings of the
-    entry's length equals it.
+    A name contains an entry if one of its substrings of the entry's length equals
+    it, so the tables are joined by equality whatever their sizes. The lengths that
+    occur are one array, at most as long as the longest entry. An empty entry is
+    contained in every name.
     """
     listed = whitelist.select(F.lower(entry).alias("_entry")).dropna().distinct()
-    if len(listed.take(MAX_BROADCAST_ENTRIES + 1)) <= MAX_BROADCAST_ENTRIES:
-        return vendors.join(
-            F.broadcast(listed), F.contains(F.lower(vendor), F.col("_entry")), "left_anti"
-        )
-    # As many numbers at most as the longest entry has letters.
-    lengths = [row[0] for row in listed.select(F.length("_entry")).distinct().collect()]
+    lengths = listed.agg(F.collect_set(F.length("_entry")).alias("_lengths")).scalar()
     name = F.col("_name")
 
     def substrings(size: Column) -> Column:
@@ -315,12 +307,11 @@ def vendors_off_list(vendors: DataFrame, whitelist: DataFrame, vendor: str, entr
             lambda start: F.substring(name, start, size),
         )
 
-    pieces = F.flatten(F.transform(F.array(*[F.lit(n) for n in lengths]), substrings))
+    names = vendors.select(F.lower(vendor).alias("_name")).dropna().distinct()
+    names = names.withColumn("_lengths", lengths)
+    pieces = F.array_distinct(F.flatten(F.transform("_lengths", substrings)))
     hits = (
-        vendors.select(F.lower(vendor).alias("_name"))
-        .dropna()
-        .distinct()
-        .select("_name", F.explode(F.array_distinct(pieces)).alias("_entry"))
+        names.select("_name", F.explode(pieces).alias("_entry"))
         .join(listed, "_entry", "left_semi")
         .select("_name")
         .distinct()

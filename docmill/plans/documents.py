@@ -19,18 +19,6 @@ from docmill.operators.validate import validate
 from docmill.settings import Rules, Settings
 
 
-def spread(documents: DataFrame) -> DataFrame:
-    """Use all cores for input that arrives in fewer partitions than there are.
-
-    The work per document is heavy and the scan splits by bytes, so a small file
-    would otherwise keep one core busy. Larger inputs are left as they are.
-    """
-    cores = documents.sparkSession.sparkContext.defaultParallelism
-    if documents.rdd.getNumPartitions() >= cores:
-        return documents
-    return documents.repartition(cores)
-
-
 def repeated(items: str, times: Column) -> Column:
     return F.flatten(F.array_repeat(F.col(items), times))
 

@@ -17,7 +17,11 @@ log = logging.getLogger(__name__)
 # Session settings that suit the document plan. Fused code of this size exceeds
 # what the JVM compiles; beyond the limit Spark runs the same projections as
 # smaller compiled methods.
-SPARK_CONF = {"spark.sql.codegen.hugeMethodLimit": "8000"}
+# A key that a model's answer repeats has its last value, as in other JSON readers.
+SPARK_CONF = {
+    "spark.sql.codegen.hugeMethodLimit": "8000",
+    "spark.sql.variant.allowDuplicateKeys": "true",
+}
 
 
 @dataclass(frozen=True)

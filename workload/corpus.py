@@ -14,11 +14,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docmill.functions.columns import settle
-from docmill.plans.documents import spread
 
 NL = "chr(10)"
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """In a local session the tables are one file with one row group each, which a single core
+    would read; deal the rows out. On a cluster the scan's own partitions are used."""
+    context = rows.sparkSession.sparkContext
+    if rows.isStreaming or not context.master.startswith("local["):
+        return rows
+    return rows.repartition(context.defaultParallelism)
+
+
 def _s(expr: str) -> str:
     return f"cast({expr} as string)"
 
@@ -326,7 +334,7 @@ GOLDEN = (
 PAYLOADS = (
     "customer",
     [
-        {"k": "c_custkey", "fault": "c_custkey % 16", "who": "c_name"},
+        {"k": "c_custkey", "fault": "c_custkey % 20", "who": "c_name"},
         {
             "payload": "CASE fault"
             " WHEN 2 THEN 'I could not read it.'"
@@ -337,10 +345,12 @@ PAYLOADS = (
                 _when("fault = 14", "'Here is the JSON: '"),
                 "'{\"document_type\": '",
                 _when("k % 5 = 0", "'\"Receipt\"'", _when("k % 5 = 1", "'null'", "'\"Invoice\"'")),
-                _when("fault = 13", "', \"confidence\": 0'", _when("fault = 14", "', \"confidence\": \"0.55\"'", _when("fault = 9", "''", "', \"confidence\": 0.9'"))),
+                _when("fault = 13", "', \"confidence\": 0'", _when("fault = 14", "', \"confidence\": \"0.55\"'", _when("fault = 9", "''", _when("fault = 18", "', \"confidence\": \"high\"'", _when("fault = 19", "', \"confidence\": [1, 2]'", "', \"confidence\": 0.9'"))))),
                 _when("k % 3 = 0", "', \"reasoning\": \"looks so\"'"),
                 "', \"vendor_name\": '",
+                _when("fault = 16", "'\"first\", \"vendor_name\": '"),
                 _when("fault = 4", "'null'", _when("fault = 7", "'5'", _json_text("who"))),
+                _when("fault = 17", "', \"tax\": NaN, \"shipping\": -Infinity, \"notes\": \"a NaN, Infinity\"'"),
                 _when(
                     "fault = 13",
                     "', \"grand_total\": true'",

@@ -598,7 +598,8 @@ ORACLE["redact_text"] = with_(
 ORACLE["mask_value"] = (
     "SELECT c_custkey, coalesce(CASE WHEN length(v) <= 4 THEN repeat('*', length(v))"
     " ELSE repeat('*', length(v) - 4) || right(v, 4) END, '') AS masked FROM (SELECT c_custkey,"
-    " CASE WHEN c_custkey % 23 <> 0 THEN left(c_name, c_custkey % 19) END AS v FROM customer)"
+    " CASE c_custkey % 4 WHEN 0 THEN c_custkey::VARCHAR WHEN 1 THEN c_mktsegment WHEN 2 THEN c_name"
+    " END AS v FROM customer)"
 )
 ORACLE["entry_findings"] = with_(
     *MIXED_TEXT,
@@ -710,8 +711,14 @@ ORACLE["typed_contracts"] = with_(
 
 # Payloads.
 _CUT = "nullif(regexp_extract(payload, '(?s)\\{.*\\}', 0), '')"
+# The repeated key's last value, and bare words as strings, by where the corpus has them.
+_PLAIN = (
+    "replace(replace(replace(payload, '\"vendor_name\": \"first\", ', ''), ': NaN,', ': \"NaN\",'),"
+    " ': -Infinity,', ': \"-Infinity\",')"
+)
 PAYLOAD_CTES = [
-    ("p", render_sql("payload")),
+    ("q", render_sql("payload")),
+    ("p", f"SELECT k, {_PLAIN} AS payload FROM q"),
     ("o", f"SELECT k, CASE WHEN json_valid({_CUT}) THEN {_CUT} ELSE '{{}}' END AS j FROM p"),
 ]
 
@@ -743,7 +750,10 @@ ORACLE["payload_classification"] = with_(
     final=f"SELECT k, CASE WHEN lower({js('document_type')}) = 'invoice' THEN 'invoice'"
     " ELSE 'unknown' END AS document_type, "
     + _CONF.format("0.0")
-    + f" AS classification_confidence, coalesce({js('reasoning')}, '') AS reasoning FROM o",
+    + f" AS classification_confidence, coalesce({js('reasoning')}, '') AS reasoning,"
+    " CASE WHEN k % 20 = 18 THEN 'could not convert string to float: ''high'''"
+    " WHEN k % 20 = 19 THEN 'float() argument must be a string or a real number, not ''list'''"
+    " END AS classification_error FROM o",
 )
 _ITEM_OK = (
     f"({jt('line_items')} = 'ARRAY' AND coalesce({js('line_items[1].quantity')}, '') <> 'x')"
@@ -1012,7 +1022,7 @@ ORACLE["job_status_counts"] = with_(
     final="SELECT status, count(*) AS jobs FROM l GROUP BY status",
 )
 ORACLE["job_lookup"] = with_(
-    ("moves", f"SELECT * FROM ({_MOVES}) WHERE seq < 400 OR result IS NULL"),
+    ("moves", _MOVES),
     ("l", _LATEST),
     final="SELECT a.job_id, l.status, CASE WHEN l.status IS NULL THEN 'unknown'"
     " WHEN l.result IS NULL THEN 'processing' ELSE 'ready' END AS answer"

@@ -142,10 +142,15 @@ def uploads(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def scan_documents(spark: SparkSession, sf: str) -> DataFrame:
-    """The table's own files as documents; only metadata is read."""
+    """The table's own files as documents: name, size, type and a digest of their bytes."""
     found = files.scan_files(spark, sf, "*.parquet")
     return found.select(
-        F.element_at(F.split("path", "/"), -1).alias("file"), "length", "mime_type", "is_text_type"
+        F.element_at(F.split("path", "/"), -1).alias("file"),
+        "length",
+        "mime_type",
+        "is_text_type",
+        big(F.octet_length("content")).alias("bytes"),
+        F.md5("content").alias("md5"),
     )
 
 
@@ -270,8 +275,13 @@ def redact_text(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def mask_value(spark: SparkSession, sf: str) -> DataFrame:
-    value = F.left("c_name", (F.col("c_custkey") % 19).cast("int"))
-    value = F.when(F.col("c_custkey") % 23 != 0, value)
+    """Whole values of differing length: the key, the segment, the name, none at all."""
+    key = F.col("c_custkey")
+    value = (
+        F.when(key % 4 == 0, key.cast("string"))
+        .when(key % 4 == 1, F.col("c_mktsegment"))
+        .when(key % 4 == 2, F.col("c_name"))
+    )
     return table(spark, sf, "customer").select("c_custkey", pii.mask_value(value).alias("masked"))
 
 
@@ -811,8 +821,8 @@ def job_lookup(spark: SparkSession, sf: str) -> DataFrame:
     asked = table(spark, sf, "customer").select(
         F.concat(F.lit("job-"), F.col("c_custkey").cast("string")).alias("job_id")
     )
-    early = job_transitions(spark, sf).where((F.col("seq") < 400) | F.col("result").isNull())
-    return ledger.lookup(asked, ledger.latest(early)).select("job_id", "status", "answer")
+    jobs = ledger.latest(job_transitions(spark, sf))
+    return ledger.lookup(asked, jobs).select("job_id", "status", "answer")
 
 
 # --- Models ----------------------------------------------------------------
