@@ -23,9 +23,9 @@ BAND, BANDS = 6, 42
 REGISTERS = BAND * BANDS
 #: Estimates so far below the limit are not verified: four standard deviations at 0.8.
 SLACK = 0.1
-#: Rounds in which each bucket compares its members with one of them, before the rest are
-#: compared block by block.
-HUB_ROUNDS = 3
+#: Rounds in which each set is compared with one central set of its buckets, before whatever
+#: is still open is compared block by block.
+HUB_ROUNDS = 2
 #: Members of a bucket, and partners of a hub, that meet in one task.
 BLOCK = 1024
 #: A task forgets the words it has seen beyond so many.
@@ -89,7 +89,7 @@ def band_keys(regs: np.ndarray) -> np.ndarray:
 
 
 #: Similarities at which the likelihood of register pairs is looked up.
-GRID = np.linspace(0, 1, 101)
+GRID = np.linspace(0, 1, 51)
 
 
 def estimate(regs: np.ndarray, sizes: np.ndarray, own: np.ndarray, size: int) -> np.ndarray:
@@ -112,6 +112,17 @@ def estimate(regs: np.ndarray, sizes: np.ndarray, own: np.ndarray, size: int) ->
     return np.take_along_axis(grid, like.argmax(1)[:, None], 1)[:, 0]
 
 
+def near(regs: np.ndarray, sizes: np.ndarray, own: np.ndarray, size: int, percent: int) -> np.ndarray:
+    """Which rows may be linked with one set. Rows with far too few equal registers for that are
+    told without their likelihood."""
+    limit = percent / 100 - SLACK
+    out = (regs == own).sum(1) >= (limit - SLACK) * regs.shape[1]
+    at = np.flatnonzero(out)
+    if len(at):
+        out[at] = estimate(regs[at], sizes[at], own, size) >= limit
+    return out
+
+
 def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     """Whether two sorted sets reach the similarity, on all their shingles."""
     if not len(a) or not len(b) or 100 * min(len(a), len(b)) < percent * max(len(a), len(b)):
@@ -205,8 +216,7 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         one = hub.iloc[0]
         regs = np.stack([np.frombuffer(r, np.uint16) for r in rows["regs"]])
         mine, items = np.frombuffer(one["own_regs"], np.uint16), np.frombuffer(one["own"], np.uint64)
-        near = estimate(regs, rows["n"].to_numpy(float), mine, one["own_n"]) >= percent / 100 - SLACK
-        rows = rows[near]
+        rows = rows[near(regs, rows["n"].to_numpy(float), mine, one["own_n"], percent)]
         good = [linked(np.frombuffer(s, np.uint64), items, percent) for s in rows["items"]]
         return rows.loc[np.array(good, bool), ["hub", "rep"]] if len(rows) else rows[["hub", "rep"]]
 
@@ -220,92 +230,115 @@ def components(edges: DataFrame) -> DataFrame:
 
     Every vertex takes the smallest label among itself and its neighbours, then the label of
     that label, until nothing changes. Labels are aggregated before they are shuffled."""
-    both = settled(
-        edges.select(F.col("hub").alias("u"), F.col("rep").alias("v"))
-        .union(edges.select("rep", "hub"))
-        .where("u <> v")
-        .distinct()
-    )
+    both = edges.select(F.col("hub").alias("u"), F.col("rep").alias("v"))
+    both = settled(both.union(both.select("v", "u")).distinct())
     labels = settled(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("l")))
     while True:
-        offered = both.join(labels.select(F.col("u").alias("v"), "l"), "v").groupBy("u").agg(F.min("l").alias("m"))
-        fresh = labels.join(offered, "u", "left").select(
-            "u", F.col("l").alias("old"), F.least("l", F.coalesce("m", "l")).alias("l")
-        )
+        known = labels.select(F.col("u").alias("v"), "l")
+        offered = both.join(known, "v").groupBy("u").agg(F.min("l").alias("m"))
+        fresh = labels.join(offered, "u").select("u", F.col("l").alias("old"), F.least("l", "m").alias("l"))
         jump = labels.select(F.col("u").alias("l"), F.col("l").alias("far"))
-        fresh = fresh.join(jump, "l", "left").select(
-            "u", "old", F.least("l", F.coalesce("far", "l")).alias("l")
-        )
+        fresh = fresh.join(jump, "l").select("u", "old", F.least("l", "far").alias("l"))
         fresh = settled(fresh)
         labels = fresh.select("u", "l")
         if fresh.where("l <> old").isEmpty():
             return labels.select(F.col("u").alias("rep"), F.col("l").alias("comp"))
 
 
-def open_buckets(members: DataFrame, comps: DataFrame | None, done: DataFrame | None) -> DataFrame:
-    """(bucket, rep, central, comp) of members not yet compared with all others of their
-    bucket, in buckets where such members belong to different components."""
-    rows = members
-    if comps is not None:
-        rows = rows.join(comps, "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
-    else:
-        rows = rows.withColumn("comp", F.col("rep"))
-    rest = rows if done is None else rows.join(done, ["bucket", "rep"], "left_anti")
-    several = rest.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high"))
-    return rest.join(several.where("low <> high").select("bucket"), "bucket")
-
-
-def hub_pairs(rows: DataFrame, members: DataFrame, comps: DataFrame | None) -> tuple[DataFrame, DataFrame]:
-    """One hub per bucket, and the pairs of it with members of other components. The hub is the
-    most central member of the component with the fewest members there."""
-    by_comp = rows.groupBy("bucket", "comp").agg(
-        F.count("*").alias("size"), F.max(F.struct("central", "rep")).alias("best")
-    )
-    hubs = by_comp.groupBy("bucket").agg(
-        F.min(F.struct("size", (-F.col("best.central")).alias("c"), "best.rep", "comp")).alias("hub")
-    )
-    hubs = settled(hubs.select("bucket", F.col("hub.rep").alias("hub"), F.col("hub.comp").alias("hub_comp")))
-    whole = members.select("bucket", "rep").join(hubs, "bucket")
-    if comps is not None:
-        whole = whole.join(comps, "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
-    else:
-        whole = whole.withColumn("comp", F.col("rep"))
-    pairs = whole.where("comp <> hub_comp").select("hub", "rep").distinct()
-    return hubs.select("bucket", F.col("hub").alias("rep")), settled(pairs)
+def named(rows: DataFrame, comps: DataFrame | None, rep: str = "rep", comp: str = "comp") -> DataFrame:
+    """Rows with the component of a vertex, which is the vertex itself if it has no link."""
+    if comps is None:
+        return rows.withColumn(comp, F.col(rep))
+    known = comps.select(F.col("rep").alias("of"), F.col("comp").alias("found"))
+    rows = rows.join(known, rows[rep] == known["of"], "left")
+    return rows.withColumn(comp, F.coalesce("found", rep)).drop("of", "found")
+
+
+def joined(comps: DataFrame | None, edges: DataFrame) -> DataFrame | None:
+    """Components after further links: whole components are the vertices that these connect."""
+    ends = named(named(edges, comps, "hub", "a"), comps, "rep", "b")
+    ends = settled(ends.where("a <> b").select(F.col("a").alias("hub"), F.col("b").alias("rep")).distinct())
+    if ends.isEmpty():
+        return comps
+    fresh = components(ends)
+    if comps is None:
+        return settled(fresh)
+    root = fresh.select(F.col("rep").alias("comp"), F.col("comp").alias("root"))
+    moved = comps.join(root, "comp", "left").select("rep", F.coalesce("root", "comp").alias("comp"))
+    return settled(moved.union(fresh.join(comps, "rep", "left_anti").select("rep", "comp")))
+
+
+def open_buckets(members: DataFrame, comps: DataFrame | None) -> DataFrame:
+    """(bucket, rep, central, comp) of the buckets that hold several components."""
+    rows = named(members, comps)
+    several = rows.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high"))
+    return settled(rows.join(several.where("low <> high").select("bucket"), "bucket"))
+
+
+def hub_pairs(rows: DataFrame, tested: DataFrame | None) -> DataFrame:
+    """For each set the most central one that shares a bucket with it and is most central there:
+    one pair per set, so that a large group costs no more than its members."""
+    hubs = rows.groupBy("bucket").agg(F.max(F.struct("central", "rep", "comp")).alias("top"))
+    pairs = rows.join(hubs, "bucket").where(F.col("comp") != F.col("top.comp"))
+    pairs = pairs.select("rep", F.col("top.rep").alias("hub"), F.col("top.central").alias("rank"))
+    if tested is not None:
+        pairs = pairs.join(tested, ["hub", "rep"], "left_anti")
+    best = pairs.groupBy("rep").agg(F.max(F.struct("rank", "hub")).alias("best"))
+    return settled(best.select(F.col("best.hub").alias("hub"), "rep"))
 
 
 def block_pairs(rows: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
-    """Pairs of different components in one bucket whose estimate reaches the limit. Members of
-    a bucket are dealt into blocks, and every two blocks meet in a task; only pairs that pass
-    the estimate leave it."""
-    counts = rows.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
-    dealt = rows.select("bucket", "rep", "comp").join(settled(counts), "bucket")
-    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("rep"), "blocks"))
-    meets = F.transform(
-        F.expr("sequence(0L, blocks - 1)"),
-        lambda x: F.struct(F.least(x, F.col("block")).alias("low"), F.greatest(x, F.col("block")).alias("high")),
+    """Pairs of different components in one bucket whose estimate reaches the limit.
+
+    In each bucket the members outside its largest component meet all members; both are dealt
+    into blocks, and two blocks meet in a task. Only pairs that pass the estimate leave it."""
+    sizes = rows.groupBy("bucket", "comp").agg(F.count("*").alias("size"))
+    largest = sizes.groupBy("bucket").agg(
+        F.max(F.struct("size", "comp")).alias("top"), F.sum("size").alias("all")
+    )
+    largest = settled(
+        largest.select(
+            "bucket",
+            F.col("top.comp").alias("major"),
+            F.ceil((F.col("all") - F.col("top.size")) / BLOCK).alias("lefts"),
+            F.ceil(F.col("all") / BLOCK).alias("rights"),
+        )
     )
-    dealt = dealt.select("bucket", "rep", "comp", "block", F.inline(meets))
+    dealt = rows.select("bucket", "rep", "comp").join(largest, "bucket")
     dealt = dealt.join(reps.select("rep", "n", "regs"), "rep")
+    dealt = dealt.withColumn("minor", F.col("comp") != F.col("major"))
+    dealt = settled(dealt.drop("major"))
+    every = "bucket", "rep", "comp", "minor", "n", "regs"
+    left = dealt.where("minor").select(
+        *every,
+        F.pmod(F.xxhash64("rep"), "lefts").alias("left"),
+        F.explode(F.expr("sequence(0L, rights - 1)")).alias("right"),
+    )
+    right = dealt.select(
+        *[F.col(c).alias(f"r_{c}") for c in every],
+        F.pmod(F.xxhash64("rep"), "rights").alias("r_right"),
+        F.explode(F.expr("sequence(0L, lefts - 1)")).alias("r_left"),
+    )
 
-    def compare(rows: pd.DataFrame) -> pd.DataFrame:
-        regs = np.stack([np.frombuffer(r, np.uint16) for r in rows["regs"]])
-        n, comp = rows["n"].to_numpy(float), rows["comp"].to_numpy()
-        rep, block = rows["rep"].to_numpy(), rows["block"].to_numpy()
-        inside = rows["low"].iloc[0] == rows["high"].iloc[0]
+    def meet(own: pd.DataFrame, others: pd.DataFrame) -> pd.DataFrame:
         out = []
-        for i in range(len(rows) - 1):
-            rest = np.arange(i + 1, len(rows))
-            ratio = np.minimum(n[i], n[rest]) / np.maximum(n[i], n[rest])
-            ok = (comp[rest] != comp[i]) & (100 * ratio >= percent)
-            rest = rest[ok & (inside | (block[rest] != block[i]))]
-            if len(rest):
-                near = estimate(regs[rest], n[rest], regs[i], n[i]) >= percent / 100 - SLACK
-                out += [(rep[i], rep[j]) for j in rest[near]]
+        if len(own) and len(others):
+            regs = np.stack([np.frombuffer(r, np.uint16) for r in others["r_regs"]])
+            n, comp = others["r_n"].to_numpy(float), others["r_comp"].to_numpy()
+            rep, minor = others["r_rep"].to_numpy(), others["r_minor"].to_numpy(bool)
+            for one in own.itertuples():
+                ratio = np.minimum(one.n, n) / np.maximum(one.n, n)
+                # Two members outside the largest component meet twice; one meeting counts.
+                some = (comp != one.comp) & (100 * ratio >= percent) & (~minor | (rep < one.rep))
+                rest = np.flatnonzero(some)
+                if len(rest):
+                    mine = np.frombuffer(one.regs, np.uint16)
+                    out += [(one.rep, r) for r in rep[rest[near(regs[rest], n[rest], mine, one.n, percent)]]]
         return pd.DataFrame(out, columns=["hub", "rep"], dtype="int64")
 
-    met = dealt.groupBy("bucket", "low", "high").applyInPandas(compare, "hub long, rep long")
-    return met.select(F.least("hub", "rep").alias("hub"), F.greatest("hub", "rep").alias("rep")).distinct()
+    met = left.groupBy("bucket", "left", "right").cogroup(right.groupBy("r_bucket", "r_left", "r_right"))
+    found = met.applyInPandas(lambda a, b: meet(a, b), "hub long, rep long")
+    return settled(found.select(F.least("hub", "rep").alias("hub"), F.greatest("hub", "rep").alias("rep")).distinct())
 
 
 def near_duplicates(
@@ -320,9 +353,8 @@ def near_duplicates(
     Documents are linked if the sets of their ``shingle_words``-word shingles reach the
     similarity ``percent``; a component is what links connect. Rows with equal sets are one set.
     Sets are sketched into registers, and registers banded; sets that share a band are compared
-    unless they are known to be in one component: first every member of a bucket with its most
-    central one, for some rounds with one of another component, and whatever is left block by
-    block. Pairs pass an estimate by likelihood and are verified on the full sets.
+    unless they are known to be in one component: first every set with the most central one of
+    its buckets, and what is then in buckets of several components block by block. Pairs pass an estimate by likelihood and are verified on the full sets.
 
     Null texts and texts without words have the empty set and are alone. A text with fewer
     words than a shingle is one shingle. ``component_id`` is the smallest non-null key of the
@@ -344,28 +376,18 @@ def near_duplicates(
     central = members.groupBy("rep").agg(F.sum("size").alias("central"))
     members = settled(members.select("bucket", "rep").join(central, "rep"))
     sets = settled(sets_of(docs, reps, central.select("rep"), "text", shingle_words))
-    edges = comps = done = None
+    comps = tested = None
     for turn in range(HUB_ROUNDS + 1):
-        waiting = open_buckets(members, comps, done)
+        waiting = open_buckets(members, comps)
         if waiting.isEmpty():
             break
-        if turn < HUB_ROUNDS:
-            hubs, pairs = hub_pairs(waiting, members, comps)
-            done = hubs if done is None else done.union(hubs)
-        else:
-            pairs = settled(block_pairs(waiting, reps, percent))
-        fresh = settled(verified(pairs, sets, percent))
-        if not fresh.isEmpty():
-            edges = fresh if edges is None else edges.union(fresh)
-            comps = components(edges)
-    named = reps.select("fp", "rep", "least")
-    if comps is None:
-        named = named.select("fp", F.col("least").alias("component_id"))
-    else:
-        named = named.join(comps, "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
-        least = named.groupBy("comp").agg(F.min("least").alias("component_id"))
-        named = named.join(least, "comp").select("fp", "component_id")
-    out = rows.select("key", "n", "fp").join(settled(named), "fp", "left")
+        pairs = hub_pairs(waiting, tested) if turn < HUB_ROUNDS else block_pairs(waiting, reps, percent)
+        tested = pairs if tested is None else tested.union(pairs)
+        comps = joined(comps, settled(verified(pairs, sets, percent)))
+    named_reps = named(reps.select("fp", "rep", "least"), comps)
+    least = named_reps.groupBy("comp").agg(F.min("least").alias("component_id"))
+    classes = settled(named_reps.join(least, "comp").select("fp", "component_id"))
+    out = rows.select("key", "n", "fp").join(classes, "fp", "left")
     component = F.when(F.col("n") == 0, F.col("key")).otherwise(F.col("component_id"))
     return out.select(
         F.col("key").alias(key),
