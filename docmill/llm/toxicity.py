@@ -19,8 +19,10 @@ from docmill.llm.shared import per_text, settled, slices
 #: Letters and digits in a row; besides the word, its beginnings of these lengths are terms.
 TOKEN = re.compile(r"[^\W_]+")
 BEGINNINGS = (4, 5, 6)
-#: The index holds terms that toxic examples have more often, if this sure (chi-squared with
-#: one degree of freedom) and in so many toxic documents, the surest so many.
+#: The index holds terms that make a document so many times likelier toxic than documents are
+#: on the whole, if this sure (chi-squared with one degree of freedom) and in so many toxic
+#: documents, the surest so many.
+LEAST_LIFT = 2.5
 LEAST_CHI2 = 15.0
 LEAST_TOXIC = 5
 MOST_TERMS = 4096
@@ -29,6 +31,8 @@ EXAMPLES = 8000
 #: Examples in a block of a posting list, and neighbours that vote.
 BLOCK = 128
 NEIGHBOURS = 32
+#: Blocks scored between two looks at the last neighbour found.
+AT_ONCE = 4
 SHOWN = 3
 #: A vote weighs the similarity to this power; the base rate weighs as one close vote.
 POWER = 4
@@ -121,7 +125,8 @@ def choose_terms(rows: DataFrame) -> pd.DataFrame:
     c, d = F.lit(float(toxic)) - a, F.lit(float(other)) - b
     n = float(toxic + other)
     chi2 = n * F.pow(a * d - b * c, F.lit(2)) / ((a + b) * (c + d) * toxic * other)
-    sure = found.where((a >= LEAST_TOXIC) & (a * d > b * c) & (c + d > 0) & F.lit(toxic * other > 0))
+    lifted = a * n >= LEAST_LIFT * toxic * (a + b)
+    sure = found.where((a >= LEAST_TOXIC) & lifted & (c + d > 0) & F.lit(toxic * other > 0))
     sure = sure.withColumn("chi2", chi2).where(F.col("chi2") >= LEAST_CHI2)
     return sure.orderBy(F.desc("chi2"), "term").limit(MOST_TERMS).toPandas()
 
@@ -198,21 +203,26 @@ class Index:
         until no bound reaches the last neighbour found."""
         bounds = values @ self.most[at]
         ids, sims = np.zeros(0, np.int64), np.zeros(0)
-        for block in np.argsort(-bounds, kind="stable"):
-            if bounds[block] <= 0 or len(sims) == NEIGHBOURS and bounds[block] <= sims[-1]:
+        order = np.argsort(-bounds, kind="stable")
+        for first in range(0, len(order), AT_ONCE):
+            blocks = order[first : first + AT_ONCE]
+            limit = sims[-1] if len(sims) == NEIGHBOURS else 0.0
+            blocks = blocks[bounds[blocks] > limit]
+            if not len(blocks):
                 break
-            scores = np.zeros(BLOCK)
+            scores = np.zeros((len(blocks), BLOCK))
             for t, v in zip(at, values):
-                low, high = self.starts[t, block], self.starts[t, block + 1]
-                if low < high:
-                    scores[self.rows[t][low:high] - block * BLOCK] += v * self.values[t][low:high]
-            if without // BLOCK == block and without >= 0:
-                scores[without % BLOCK] = 0
-            found = np.flatnonzero(scores)
-            ids = np.concatenate([ids, found + block * BLOCK])
-            sims = np.concatenate([sims, scores[found]])
-            order = np.lexsort((ids, -sims))[:NEIGHBOURS]
-            ids, sims = ids[order], sims[order]
+                rows, own = self.rows[t], self.values[t]
+                for k, block in enumerate(blocks):
+                    low, high = self.starts[t, block], self.starts[t, block + 1]
+                    if low < high:
+                        scores[k, rows[low:high] - block * BLOCK] += v * own[low:high]
+            found = (blocks[:, None] * BLOCK + np.arange(BLOCK)).ravel()
+            flat = scores.ravel()
+            some = (flat > limit) & (found != without)
+            ids, sims = np.concatenate([ids, found[some]]), np.concatenate([sims, flat[some]])
+            best = np.lexsort((ids, -sims))[:NEIGHBOURS]
+            ids, sims = ids[best], sims[best]
         return ids, sims
 
     def vote(self, ids: np.ndarray, sims: np.ndarray) -> float:
