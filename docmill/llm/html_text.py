@@ -457,7 +457,10 @@ def extract(
     empty pages, and pages without main text, give an empty text. Repeated rows stay; an empty
     table gives an empty result; columns other than ``keep`` are not read."""
     short = df.select(F.col(f"`{text}`").alias("html")).where(F.length("html").between(1, SAMPLE_CHARS))
-    sample = short.distinct().orderBy(F.xxhash64(F.lit(seed), "html"), "html").limit(sample_pages)
+    short = short.withColumn("roll", F.xxhash64(F.lit(seed), "html"))
+    # The smallest hashes are found without the pages, which then come by themselves.
+    rolls = short.select("roll").distinct().orderBy("roll").limit(sample_pages)
+    sample = short.join(F.broadcast(rolls), "roll").dropDuplicates(["roll"]).orderBy("roll")
     model = df.sparkSession.sparkContext.broadcast(fit([r["html"] for r in sample.collect()], seed))
     fields = T.StructType(
         [T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())]
