@@ -211,7 +211,7 @@ def estimate(rows: DataFrame) -> DataFrame:
     for _ in range(STEPS):
         measured = rows.join(groups, "group").select("group", *NAMES, distance().alias("d"))
         scale = F.floor(F.log(F.col("d") + 1e-6) * 64)
-        cut = quantile(measured, scale, HALF, "bin")
+        cut = settled(quantile(measured, scale, HALF, "bin"))  # one row per group
         near = measured.join(cut, "group").where(scale <= F.col("bin"))
         groups = with_inverse(moments(near, factor))
     wide = chi2_cut(0.025, p)
