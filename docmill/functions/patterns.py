@@ -82,21 +82,6 @@ ID_DOCUMENT = {
 # Input gate.
 ALLOWED_EXTENSIONS = [".jpeg", ".jpg", ".pdf", ".png", ".tiff", ".txt", ".webp"]
 ALLOWED_MIME_PREFIXES = ["image/", "application/pdf", "text/"]
-MIME_BY_EXTENSION = {
-    ".csv": "text/csv",
-    ".gif": "image/gif",
-    ".htm": "text/html",
-    ".html": "text/html",
-    ".jpeg": "image/jpeg",
-    ".jpg": "image/jpeg",
-    ".json": "application/json",
-    ".pdf": "application/pdf",
-    ".png": "image/png",
-    ".tiff": "image/tiff",
-    ".txt": "text/plain",
-    ".webp": "image/webp",
-    ".xml": "text/xml",
-}
 
 # Model status codes that pass a request on to the next model.
 FAILOVER_CODES = (429, 503)

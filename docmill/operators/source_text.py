@@ -19,11 +19,15 @@ def body_text(content: Column) -> Column:
     return F.coalesce(unify_newlines(decode_utf8(content)), F.lit(""))
 
 
-def from_content(documents: DataFrame, column: str = "content") -> DataFrame:
-    """Replace the bytes by ``scan_text`` and ``body``; the bytes go no further."""
-    return documents.withColumns(
+def from_content(
+    documents: DataFrame, column: str = "content", keep_content: bool = False
+) -> DataFrame:
+    """Replace the bytes by ``scan_text`` and ``body``; the bytes go no further unless a model
+    is to read them."""
+    documents = documents.withColumns(
         {"scan_text": scan_text(F.col(column)), "body": body_text(F.col(column))}
-    ).drop(column)
+    )
+    return documents if keep_content else documents.drop(column)
 
 
 def from_text(documents: DataFrame, column: str = "text") -> DataFrame:

@@ -16,6 +16,11 @@ from pyspark.sql import functions as F
 from docmill.functions.columns import settle
 
 NL = "chr(10)"
+# Suffixes that the pages' paths get in turn.
+SUFFIXES = (
+    "", ".zip", ".doc", ".MD", ".svg", ".tif", ".mp4", ".js", ".bmp", ".css", ".tar.gz", ".tgz",
+    ".txt.bz2", ".gz", ".csv", ".PDF", ".unknown", ".xls", ".ppt", ".json.Z",
+)
 
 
 def spread(rows: DataFrame) -> DataFrame:

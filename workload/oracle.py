@@ -7,7 +7,7 @@ extraction, issues, findings, route.
 from __future__ import annotations
 
 from docmill.functions import patterns as P
-from workload.corpus import mixed_sql, render_sql
+from workload.corpus import SUFFIXES, mixed_sql, render_sql
 
 ORACLE: dict[str, str] = {}
 
@@ -511,10 +511,39 @@ ORACLE["text_source"] = with_(
     " length(body) AS body_length FROM t",
 )
 _ext = "lower(regexp_extract(regexp_extract(url, '^[a-z]+://[^/]+([^?#]*)', 1), '[^/](\\.[^./]+)$', 1))"
-_mime = " ".join(f"WHEN '{e}' THEN '{m}'" for e, m in P.MIME_BY_EXTENSION.items())
+# The types that the query's suffixes stand for.
+_SUFFIX_TYPES = {
+    ".zip": "application/zip",
+    ".doc": "application/msword",
+    ".MD": "text/markdown",
+    ".svg": "image/svg+xml",
+    ".tif": "image/tiff",
+    ".mp4": "video/mp4",
+    ".js": "text/javascript",
+    ".bmp": "image/bmp",
+    ".css": "text/css",
+    ".tar.gz": "application/x-tar",
+    ".tgz": "application/x-tar",
+    ".txt.bz2": "text/plain",
+    ".csv": "text/csv",
+    ".PDF": "application/pdf",
+    ".xls": "application/vnd.ms-excel",
+    ".ppt": "application/vnd.ms-powerpoint",
+    ".json.Z": "application/json",
+}
+_OWN_TYPES = {".html": "text/html", ".htm": "text/html", ".pdf": "application/pdf", ".txt": "text/plain",
+              ".xml": "text/xml", ".json": "application/json", ".png": "image/png", ".jpg": "image/jpeg"}
+_suffixes = "[" + ", ".join(q(x) for x in SUFFIXES) + "]"
+_by_suffix = " ".join(f"WHEN {q(e)} THEN {q(m)}" for e, m in _SUFFIX_TYPES.items())
+_own = " ".join(f"WHEN {q(e)} THEN {q(m)}" for e, m in _OWN_TYPES.items())
+_guess = (
+    f"coalesce(CASE suffix {_by_suffix} END, CASE WHEN suffix = '' THEN CASE {_ext}"
+    f" {_own} END END, {{}})"
+)
 ORACLE["mime_guess"] = (
-    f"SELECT page_id, CASE {_ext} {_mime} ELSE 'text/plain' END AS batch_mime,"
-    f" CASE {_ext} {_mime} ELSE 'application/octet-stream' END AS upload_mime FROM pages"
+    f"SELECT page_id, {_guess.format(q('text/plain'))} AS batch_mime,"
+    f" {_guess.format(q('application/octet-stream'))} AS upload_mime FROM (SELECT *,"
+    f" {_suffixes}[page_id % {len(SUFFIXES)} + 1] AS suffix FROM pages)"
 )
 _UPLOADS = (
     "SELECT page_id, CASE page_id % 7 WHEN 0 THEN '.exe' WHEN 1 THEN '' WHEN 2 THEN '.pdf'"
@@ -1029,20 +1058,26 @@ ORACLE["job_lookup"] = with_(
     " FROM (SELECT 'job-' || c_custkey AS job_id FROM customer) a LEFT JOIN l USING (job_id)",
 )
 
-# Models: the stand-ins' behaviour by document number.
+# Models: the stand-ins' behaviour by the length of the document's text.
+_LENGTHS = (
+    "(SELECT doc_id, text, length(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)))"
+    " AS n FROM documents)"
+)
 ORACLE["infer_stub"] = (
-    "SELECT 'doc-' || doc_id AS job_id, 'invoice' AS document_type, 'N' || doc_id"
-    " AS invoice_number, doc_id::DOUBLE AS total_amount, CASE WHEN doc_id % 4 = 0 THEN 0.5"
+    "SELECT 'doc-' || doc_id AS job_id, 'invoice' AS document_type, 'N' || n"
+    " AS invoice_number, n::DOUBLE AS total_amount, CASE WHEN n % 4 = 0 THEN 0.5"
     " ELSE 0.9 END::DOUBLE AS extraction_confidence,"
-    " cast(CASE WHEN doc_id % 4 = 0 THEN 2 ELSE 1 END AS BIGINT) AS attempts FROM documents"
+    " cast(CASE WHEN n % 4 = 0 THEN 2 ELSE 1 END AS BIGINT) AS attempts FROM "
+    + _LENGTHS
 )
 _MODEL = (
-    "SELECT doc_id, CASE WHEN doc_id % 5 <> 0 AND doc_id % 11 <> 3 THEN 'primary'"
-    " WHEN doc_id % 5 = 0 AND doc_id % 20 <> 0 THEN 'backup' END AS served,"
-    " CASE WHEN doc_id % 5 = 0 AND doc_id % 20 = 0 THEN"
+    "SELECT doc_id, n, CASE WHEN n % 5 <> 0 AND n % 11 <> 3 THEN 'primary'"
+    " WHEN n % 5 = 0 AND n % 20 <> 0 THEN 'backup' END AS served,"
+    " CASE WHEN n % 5 = 0 AND n % 20 = 0 THEN"
     " 'all models exhausted (primary, backup): overloaded'"
-    " WHEN doc_id % 5 <> 0 AND doc_id % 11 = 3 THEN 'request failed on primary: bad request' END"
-    " AS err, doc_id % 4 = 0 AS low FROM documents"
+    " WHEN n % 5 <> 0 AND n % 11 = 3 THEN 'request failed on primary: bad request' END"
+    " AS err, n % 4 = 0 AS low FROM "
+    + _LENGTHS
 )
 ORACLE["infer_failover"] = (
     "SELECT 'doc-' || doc_id AS job_id, served AS classify_served_by, err AS classify_error,"
@@ -1052,10 +1087,10 @@ ORACLE["infer_failover"] = (
 # Every value the stand-in invents is looked up in the document.
 _STUB_GROUND = [
     opt("NOT contains(hay, 'acme corp')", q("Extracted 'vendor_name' not found verbatim in source.")),
-    opt("NOT contains(hay, 'n' || doc_id)", q("Extracted 'invoice_number' not found verbatim in source.")),
+    opt("NOT contains(hay, 'n' || n)", q("Extracted 'invoice_number' not found verbatim in source.")),
     opt(
-        "NOT contains(regexp_replace(hay, '[^0-9]', '', 'g'), CASE WHEN doc_id = 0 THEN '0'"
-        " ELSE doc_id || '00' END)",
+        "NOT contains(regexp_replace(hay, '[^0-9]', '', 'g'), CASE WHEN n = 0 THEN '0'"
+        " ELSE n || '00' END)",
         q("Extracted 'total_amount' value not found in source."),
     ),
 ]
@@ -1072,13 +1107,17 @@ ORACLE["model_results"] = with_(
     final="SELECT 'doc-' || doc_id AS job_id, CASE WHEN err IS NULL THEN 'completed'"
     " ELSE 'failed' END AS status, CASE WHEN err IS NULL THEN 'invoice' ELSE 'unknown' END"
     " AS document_type, CASE WHEN err IS NOT NULL THEN 'reject'"
-    " WHEN doc_id > 10000 OR len(found) > 0 THEN 'flag_for_review' ELSE 'auto_approve' END"
+    " WHEN n > 10000 OR len(found) > 0 THEN 'flag_for_review' ELSE 'auto_approve' END"
     " AS route, CASE WHEN err IS NOT NULL THEN 'Pipeline error: extraction_failed: ' || err"
-    " WHEN doc_id > 10000 THEN 'Invoice total ' || doc_id || '.0 exceeds auto-approve cap 10000.0.'"
+    " WHEN n > 10000 THEN 'Invoice total ' || n || '.0 exceeds auto-approve cap 10000.0.'"
     " WHEN len(found) > 0 THEN 'Security review required: ' || array_to_string(found, '; ')"
     " ELSE 'All checks passed.' END AS route_reason,"
     " cast(CASE WHEN err IS NOT NULL THEN 0 WHEN low THEN 2 ELSE 1 END AS BIGINT) AS retries FROM z",
 )
+ORACLE["model_files"] = ORACLE["model_results"].replace(
+    "ELSE once END AS found FROM g", "ELSE once END AS found FROM (SELECT * REPLACE"
+    " (CASE WHEN doc_id % 2 = 1 THEN [] ELSE once END AS once) FROM g)"
+)
 ORACLE["stream_ingest"] = with_(
     *INVOICE_ALL,
     final="SELECT job_id, job_id || CASE WHEN n % 50 = 0 THEN '.exe' ELSE '.txt' END AS filename,"
@@ -1086,3 +1125,34 @@ ORACLE["stream_ingest"] = with_(
     " AS status, CASE WHEN n % 50 <> 0 AND error IS NULL THEN route END AS route"
     " FROM (SELECT *, cast(replace(job_id, 'inv-', '') AS BIGINT) AS n FROM r)",
 )
+ORACLE["stream_status"] = with_(
+    *INVOICE_ALL,
+    final="SELECT job_id, CASE WHEN n % 50 = 0 THEN NULL WHEN error IS NULL THEN 'completed'"
+    " ELSE 'failed' END AS status, CASE WHEN n % 50 = 0 THEN 'unknown' ELSE 'ready' END AS answer,"
+    " CASE WHEN n % 50 <> 0 THEN CASE WHEN error IS NULL THEN document_type ELSE 'unknown' END END"
+    " AS document_type, CASE WHEN n % 50 <> 0 AND error IS NULL THEN route END AS route,"
+    " CASE WHEN n % 50 <> 0 THEN error END AS error"
+    " FROM (SELECT *, cast(replace(job_id, 'inv-', '') AS BIGINT) AS n FROM r)",
+)
+ORACLE["intake_answers"] = with_(
+    *QUOTA_CTES,
+    (
+        "sized",
+        "SELECT *, CASE WHEN event_id % 11 = 0 THEN 0 ELSE event_id END AS size,"
+        " decision = 'reject' AS limited FROM d",
+    ),
+    (
+        "judged",
+        "SELECT *, CASE WHEN size = 0 THEN 'Uploaded file is empty.' WHEN size / 1048576.0 > 25 THEN"
+        " 'File is ' || printf('%.1f', size / 1048576.0::DOUBLE) || ' MB, exceeding the 25.0 MB limit.'"
+        " WHEN event_id % 7 = 0 THEN 'Unsupported file type ''.exe''. Allowed: "
+        + ", ".join(P.ALLOWED_EXTENSIONS)
+        + ".' END AS why FROM sized",
+    ),
+    final="SELECT event_id, CASE WHEN limited THEN 'limited' WHEN why IS NOT NULL THEN 'rejected'"
+    " ELSE 'queued' END AS answer, CASE WHEN limited AND reason = 'day' THEN"
+    " 'Daily processing limit reached. Try again tomorrow.' WHEN limited THEN"
+    " 'Too many requests; please slow down.' ELSE why END AS message, retry_after,"
+    " CASE WHEN NOT limited THEN cast(event_id % 3 = 0 AS INTEGER) END AS mime_suspicious,"
+    " CASE WHEN NOT limited AND why IS NULL THEN 'queued' END AS job_status FROM judged",
+)

@@ -6,7 +6,10 @@ joined text.
 
 from __future__ import annotations
 
+import atexit
 import datetime as dt
+import shutil
+import tempfile
 from collections.abc import Callable
 
 import docmill
@@ -32,6 +35,7 @@ from docmill.operators import (
 from docmill.operators.infer import infer, model_chain
 from docmill.operators.source_text import from_content, from_text
 from docmill.plans.documents import analyse, process_documents
+from docmill.plans.intake import intake, queued_jobs
 from docmill.plans.model import process_with_model
 from docmill.schemas import FIELDS, build_fields
 from docmill.settings import DEFAULT_RULES, SPARK_CONF, Settings
@@ -41,7 +45,7 @@ from docmill.streaming.ingest import start_ingest
 from docmill.streaming.quota import start_quota
 from docmill.streaming.storage import fresh_folder
 from workload import corpus
-from workload.corpus import mixed, render, table
+from workload.corpus import SUFFIXES, mixed, render, table
 from workload.models import Stub
 
 AS_OF = dt.date(2026, 6, 1)
@@ -139,7 +143,6 @@ def uploads(spark: SparkSession, sf: str) -> DataFrame:
 
 # --- Sources and gate ------------------------------------------------------
 
-
 @query
 def scan_documents(spark: SparkSession, sf: str) -> DataFrame:
     """The table's own files as documents: name, size, type and a digest of their bytes."""
@@ -170,6 +173,9 @@ def text_source(spark: SparkSession, sf: str) -> DataFrame:
 def mime_guess(spark: SparkSession, sf: str) -> DataFrame:
     pages = table(spark, sf, "pages")
     path = F.regexp_extract("url", r"^[a-z]+://[^/]+([^?#]*)", 1)
+    # Besides the pages' own suffixes, each of the list in turn.
+    suffix = F.get(F.array(*[F.lit(x) for x in SUFFIXES]), F.pmod("page_id", F.lit(len(SUFFIXES))).cast("int"))
+    path = F.when(suffix == "", path).otherwise(F.concat(path, F.lit("file"), suffix))
     return pages.select(
         "page_id",
         gate.guess_mime(path).alias("batch_mime"),
@@ -828,7 +834,7 @@ def job_lookup(spark: SparkSession, sf: str) -> DataFrame:
 # --- Models ----------------------------------------------------------------
 
 
-CHAIN = model_chain("primary", " backup, spare ,primary")
+CHAIN = model_chain("primary", " backup, primary")
 
 
 def model_docs(spark: SparkSession, sf: str) -> DataFrame:
@@ -837,7 +843,7 @@ def model_docs(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def infer_stub(spark: SparkSession, sf: str) -> DataFrame:
-    df = infer(model_docs(spark, sf), Stub, ["spare"], SETTINGS, ("job_id",))
+    df = infer(model_docs(spark, sf), Stub, ["spare"], SETTINGS)
     df = payload.classification(df, "classify_payload")
     df = payload.extraction(df.withColumn("last", F.element_at("attempts", -1)["payload"]), "last")
     return df.select(
@@ -848,7 +854,7 @@ def infer_stub(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def infer_failover(spark: SparkSession, sf: str) -> DataFrame:
-    df = infer(model_docs(spark, sf), Stub, ["primary", "backup"], SETTINGS, ("job_id",))
+    df = infer(model_docs(spark, sf), Stub, CHAIN, SETTINGS)
     return df.select(
         "job_id",
         "classify_served_by",
@@ -859,41 +865,91 @@ def infer_failover(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-@query
-def model_results(spark: SparkSession, sf: str) -> DataFrame:
-    df = process_with_model(
-        model_docs(spark, sf), Stub, ["primary", "backup"], DEFAULT_RULES, SETTINGS, AS_OF, PROCESSED
-    )
+def shown_results(df: DataFrame) -> DataFrame:
     return df.select(
         "job_id", "status", "document_type", "route", "route_reason",
         big("retries").alias("retries"),
     )
 
 
-# --- Streams ---------------------------------------------------------------
+@query
+def model_results(spark: SparkSession, sf: str) -> DataFrame:
+    return shown_results(
+        process_with_model(
+            model_docs(spark, sf), Stub, CHAIN, DEFAULT_RULES, SETTINGS, AS_OF, PROCESSED
+        )
+    )
+
+
+@query
+def model_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Files, every second one not text: the model gets their bytes and type."""
+    text = F.regexp_replace("text", "\r\n?", "\n")
+    odd = F.col("doc_id") % 2 == 1
+    files = table(spark, sf, "documents").select(
+        F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("job_id"),
+        F.when(odd, F.lit("application/octet-stream")).otherwise(F.lit("text/plain")).alias("mime_type"),
+        F.when(odd, F.encode(text, "UTF-16LE")).otherwise(F.encode(text, "UTF-8")).alias("content"),
+    )
+    df = process_with_model(
+        from_content(files, keep_content=True), Stub, CHAIN, DEFAULT_RULES, SETTINGS, AS_OF,
+        PROCESSED, ("job_id", "body", "mime_type", "content"),
+    )
+    return shown_results(df)
+
+
+# --- Intake and streams ----------------------------------------------------
+
+
+def work_folder(spark: SparkSession, name: str) -> str:
+    """A fresh folder for a stream: in the shared one, or in a local session without one in a
+    folder that goes with the driver."""
+    if spark.conf.get("spark.checkpoint.dir", None):
+        return fresh_folder(spark, name)
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    folder = tempfile.mkdtemp(prefix=f"docmill-{name}-")
+    atexit.register(shutil.rmtree, folder, True)
+    return folder
+
+
+def arrivals(
+    df: DataFrame, folder: str, parts: list[Column], take: Callable[[DataFrame], object]
+) -> None:
+    """The rows of each part land one after another; ``take`` runs on the stream after each, as
+    a batch that starts from what the one before left."""
+    spark = df.sparkSession
+    for part in parts:
+        df.where(part).write.mode("append").parquet(f"{folder}/landing")
+        take(spark.readStream.schema(df.schema).parquet(f"{folder}/landing"))
 
 
-def stream_table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    schema = table(spark, sf, name).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf)
+def ingested(spark: SparkSession, sf: str) -> str:
+    """Invoices arriving in three batches; the folder with what came of them."""
+    source, steps = corpus.CORPORA["invoice"]
+    folder = work_folder(spark, "ingest")
+
+    def take(stream: DataFrame) -> None:
+        rendered = corpus.apply_steps(stream, steps)
+        suffix = F.when(F.col("k") % 50 == 0, F.lit(".exe")).otherwise(F.lit(".txt"))
+        arriving = rendered.select(
+            "job_id",
+            F.concat("job_id", suffix).alias("path"),
+            F.octet_length("text").cast("bigint").alias("length"),
+            F.lit("text/plain").alias("mime_type"),
+            F.encode("text", "utf-8").alias("content"),
+        )
+        start_ingest(arriving, folder, DEFAULT_RULES, SETTINGS, AS_OF, PROCESSED).awaitTermination()
+
+    orders = table(spark, sf, source)
+    arrivals(orders, folder, [F.col("o_orderkey") % 3 == i for i in range(3)], take)
+    return folder
 
 
 @query
 def stream_ingest(spark: SparkSession, sf: str) -> DataFrame:
     """Invoices arriving as a stream of files, read back from the result table."""
-    source, steps = corpus.CORPORA["invoice"]
-    rendered = corpus.apply_steps(stream_table(spark, sf, source), steps)
-    arriving = rendered.select(
-        "job_id",
-        F.concat("job_id", F.when(F.col("k") % 50 == 0, F.lit(".exe")).otherwise(F.lit(".txt"))).alias(
-            "path"
-        ),
-        F.octet_length("text").cast("bigint").alias("length"),
-        F.lit("text/plain").alias("mime_type"),
-        F.encode("text", "utf-8").alias("content"),
-    )
-    folder = fresh_folder(spark, "ingest")
-    start_ingest(arriving, folder, DEFAULT_RULES, SETTINGS, AS_OF, PROCESSED).awaitTermination()
+    folder = ingested(spark, sf)
     moves = spark.read.parquet(f"{folder}/transitions").where("status IN ('completed', 'failed')")
     done = spark.read.parquet(f"{folder}/results").join(moves.select("job_id", "filename"), "job_id")
     turned_away = spark.read.parquet(f"{folder}/quarantine")
@@ -905,13 +961,60 @@ def stream_ingest(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query
+def stream_status(spark: SparkSession, sf: str) -> DataFrame:
+    """Status answers for all orders, from the ledger that the stream wrote."""
+    folder = ingested(spark, sf)
+    jobs = ledger.latest(spark.read.parquet(f"{folder}/transitions"))
+    asked = table(spark, sf, "orders").select(
+        F.concat(F.lit("inv-"), F.col("o_orderkey").cast("string")).alias("job_id")
+    )
+    return ledger.lookup(asked, jobs).select(
+        "job_id", "status", "answer", "document_type", "route", "error"
+    )
+
+
+@query
+def intake_answers(spark: SparkSession, sf: str) -> DataFrame:
+    """Events as uploads: quota, gate and first transition in one plan."""
+    n = F.col("event_id")
+    suffix = F.when(n % 7 == 0, F.lit(".exe")).otherwise(F.lit(".pdf"))
+    uploads = table(spark, sf, "events").select(
+        "event_id",
+        "ts",
+        (F.col("user_id") % 5).alias("client_id"),
+        F.concat(n.cast("string"), suffix).alias("path"),
+        F.when(n % 11 == 0, F.lit(0)).otherwise(n).cast("bigint").alias("length"),
+        F.when(n % 3 == 0, F.lit("application/zip")).otherwise(F.lit("application/pdf")).alias("mime_type"),
+    )
+    answered = intake(uploads, QUOTA)
+    jobs = queued_jobs(answered, "path").select("filename", F.col("status").alias("job_status"))
+    return answered.join(jobs, answered["path"] == jobs["filename"], "left").select(
+        "event_id",
+        "answer",
+        "message",
+        big("retry_after").alias("retry_after"),
+        F.col("mime_suspicious").cast("int").alias("mime_suspicious"),
+        "job_status",
+    )
+
+
 @query
 def stream_quota(spark: SparkSession, sf: str) -> DataFrame:
-    arriving = stream_table(spark, sf, "events").select(
+    """Requests arriving in four batches, split by time."""
+    events = table(spark, sf, "events").select(
         "event_id", "ts", (F.col("user_id") % 5).alias("client_id")
     )
-    folder = fresh_folder(spark, "quota")
-    start_quota(arriving, folder, QUOTA).awaitTermination()
+    stamp = F.unix_micros(F.col("ts").cast("timestamp"))
+    low, high = events.agg(F.min(stamp), F.max(stamp)).first()
+    cuts = [low + (high + 1 - low) * i // 4 for i in range(5)]
+    folder = work_folder(spark, "quota")
+
+    def take(stream: DataFrame) -> None:
+        start_quota(stream, folder, QUOTA).awaitTermination()
+
+    parts = [(stamp >= a) & (stamp < b) for a, b in zip(cuts, cuts[1:])]
+    arrivals(events, folder, parts, take)
     return spark.read.parquet(f"{folder}/decisions").select(
         "event_id", "client_id", "decision", "reason", big("retry_after").alias("retry_after")
     )
