@@ -119,7 +119,7 @@ def test_lm_probabilities_sum_to_one():
     known = rng.integers(0, 3, lm.SLOTS).astype(np.uint8)
     weights = rng.standard_normal((lm.GATES, lm.PREDICTORS)) / 3
     hashes = np.arange(1, 6) * 7919
-    model = lm.Model(hashes, np.arange(1, 6), code, tables, known, weights, np.zeros((8, 2)))
+    model = lm.Model(hashes, np.arange(1, 6), code, tables, known, weights, np.zeros((8, lm.BYTE_TABLES)))
     coder = lm.Coder(*model[:3])
     start = np.array([3, 1, 4])
     costs = []
@@ -132,7 +132,7 @@ def test_lm_probabilities_sum_to_one():
         costs.append(whole - lm.text_bits(start, contexts[:, :3], np.array([0, 3]), model)[0])
     assert abs(sum(2.0**-c for c in costs) - 1) < 1e-4
     words = [bytes([b]) for b in range(256) if b != 10]
-    model = model._replace(byte_weights=rng.standard_normal((8, 2)) / 3)
+    model = model._replace(byte_weights=rng.standard_normal((8, lm.BYTE_TABLES)) / 3)
     first = lm.spelling_bits([b""], model)[0]
     ends = lm.spelling_bits([w + b"" for w in words], model)
     assert first > 0 and (ends > 0).all()
