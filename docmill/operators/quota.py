@@ -8,7 +8,7 @@ after request.
 Both limits become a cutoff, the position of the last request that still fits.
 Finding the k-th row of a group needs no sort of the whole group: for small k
 Spark keeps k rows per group and map task before the shuffle, for large k the
-group is narrowed down by counts per second first.
+group is narrowed down by counts per second, then per microsecond of one second.
 """
 
 from __future__ import annotations
@@ -22,17 +22,18 @@ from docmill.settings import Settings
 RANK_LIMIT = 1000
 
 
+def _second(at: Column | str) -> Column:
+    """Epoch second of an ``_at``."""
+    at = F.col(at) if isinstance(at, str) else at
+    return F.floor(at["us"] / 1_000_000)
+
+
 def with_slots(requests: DataFrame, ts: str, seq: str) -> DataFrame:
-    """Add the epoch ``_minute`` and ``_day`` and the order ``_at`` of a request."""
-    stamp = F.col(ts).cast("timestamp")
-    seconds = F.unix_seconds(stamp)
+    """Add the order ``_at`` of a request and the epoch ``_minute`` and ``_day``."""
+    stamp = F.unix_micros(F.col(ts).cast("timestamp"))
+    at = F.struct(stamp.alias("us"), F.col(seq).alias("seq"))
     return requests.withColumns(
-        {
-            "_minute": F.floor(seconds / 60),
-            "_day": F.floor(seconds / 86400),
-            "_second": seconds,
-            "_at": F.struct(F.unix_micros(stamp).alias("us"), F.col(seq).alias("seq")),
-        }
+        {"_minute": F.floor(_second(at) / 60), "_day": F.floor(_second(at) / 86400), "_at": at}
     )
 
 
@@ -63,6 +64,21 @@ def _exhausted(used: DataFrame | None, group: list[str], cap: int) -> DataFrame
     )
 
 
+def _crossing(df: DataFrame, group: list[str], slot: str, with_cap) -> DataFrame:
+    """The rows of each group in the slot in which its cap is reached, with what is ``_left`` of
+    the cap there. Rows are counted per slot before they are ordered."""
+    held = [F.first("_cap").alias("_cap")] if "_cap" in df.columns else []
+    counts = with_cap(df.groupBy(*group, slot).agg(F.count("*").alias("_n"), *held))
+    upto = F.sum("_n").over(
+        Window.partitionBy(*group).orderBy(slot).rowsBetween(Window.unboundedPreceding, 0)
+    )
+    counts = counts.withColumn("_upto", upto)
+    before = F.col("_upto") - F.col("_n")
+    reached = (F.col("_upto") >= F.col("_cap")) & (before < F.col("_cap"))
+    crossing = counts.where(reached).select(*group, slot, (F.col("_cap") - before).alias("_left"))
+    return df.drop("_cap").join(crossing, [*group, slot])
+
+
 def cutoffs(
     df: DataFrame, group: list[str], cap: int, used: DataFrame | None = None
 ) -> DataFrame:
@@ -70,22 +86,15 @@ def cutoffs(
     if cap <= RANK_LIMIT:
         last = _first_rows(df, group, cap, used).where(F.col("_rank") == F.col("_cap"))
     else:
-        # Rows per second, then the second in which the cap is reached: at most
-        # one row per second of a minute or day reaches a window task.
-        per_second = df.groupBy(*group, "_second").agg(F.count("*").alias("_n"))
-        upto = F.sum("_n").over(
-            Window.partitionBy(*group)
-            .orderBy("_second")
-            .rowsBetween(Window.unboundedPreceding, 0)
-        )
-        counted = _minus_used(per_second.withColumn("_upto", upto), group, used, cap)
-        before = F.col("_upto") - F.col("_n")
-        crossing = counted.where(
-            (F.col("_upto") >= F.col("_cap")) & (before < F.col("_cap"))
-        ).select(*group, "_second", (F.col("_cap") - before).alias("_left"))
-        inside = df.select(*group, "_second", "_at").join(crossing, [*group, "_second"])
-        rank = F.row_number().over(Window.partitionBy(*group, "_second").orderBy("_at"))
-        last = inside.withColumn("_rank", rank).where(F.col("_rank") == F.col("_left"))
+        # The second in which the cap is reached, then the microsecond: a window task gets one
+        # row per second of a minute or day, per microsecond of a second, and last the requests
+        # of one microsecond.
+        rows = df.select(*group, "_at", _second("_at").alias("_second"))
+        rows = _crossing(rows, group, "_second", lambda n: _minus_used(n, group, used, cap))
+        rows = rows.withColumn("_us", F.col("_at.us"))
+        rows = _crossing(rows.withColumnRenamed("_left", "_cap"), group, "_us", lambda n: n)
+        rank = F.row_number().over(Window.partitionBy(*group).orderBy("_at"))
+        last = rows.withColumn("_rank", rank).where(F.col("_rank") == F.col("_left"))
     last = last.select(*group, F.col("_at").alias("_cutoff"))
     spent = _exhausted(used, group, cap)
     return last if spent is None else last.unionByName(spent)
@@ -120,7 +129,9 @@ def decide(
         )
     df = with_slots(requests, ts, seq)
     minute_group = [client, "_minute"]
-    keys = df.select(client, "_minute", "_day", "_second", "_at")
+    # Day and second are read off ``_at`` later on, so that both uses of the ranked requests
+    # need the same columns and share one scan and shuffle.
+    keys = df.select(client, "_minute", "_at")
     over_minute = over_day = F.lit(False)
     candidates = keys
     if settings.quota_per_minute:
@@ -129,15 +140,20 @@ def decide(
             "_cutoff", "_minute_cutoff"
         )
         over_minute = F.coalesce(F.col("_at") > F.col("_minute_cutoff"), F.lit(False))
-        df = df.join(limits, minute_group, "left")
+        # Null-safe, as a client may be null; it also keeps both uses of the ranks alike.
+        limits = limits.select(
+            F.col(client).alias("_client"), F.col("_minute").alias("_of"), "_minute_cutoff"
+        )
+        same = F.col(client).eqNullSafe(F.col("_client")) & F.col("_minute").eqNullSafe(F.col("_of"))
+        df = df.join(limits, same, "left")
         candidates = (
             _first_rows(keys, minute_group, cap, used_minute)
             if cap <= RANK_LIMIT
-            else keys.join(limits, minute_group, "left").where(~over_minute)
+            else keys.join(limits, same, "left").where(~over_minute)
         )
     if settings.quota_per_day:
         limits = cutoffs(
-            candidates.select("_day", "_second", "_at"),
+            candidates.select(F.floor(_second("_at") / 86400).alias("_day"), "_at"),
             ["_day"],
             settings.quota_per_day,
             used_day,
@@ -149,7 +165,7 @@ def decide(
         *kept,
         F.when(over_day | over_minute, F.lit("reject")).otherwise(F.lit("accept")).alias("decision"),
         F.when(over_day, F.lit("day")).when(over_minute, F.lit("minute")).alias("reason"),
-        F.when(over_day, _retry_after(F.col("_second"), 86400))
-        .when(over_minute, _retry_after(F.col("_second"), 60))
+        F.when(over_day, _retry_after(_second("_at"), 86400))
+        .when(over_minute, _retry_after(_second("_at"), 60))
         .alias("retry_after"),
     )
