@@ -166,4 +166,10 @@ def test_ingest_goes_on_where_it_stopped(spark, tmp_path):
     assert {tuple(r) for r in rows} == {("completed", "auto_approve"), ("failed", None)}
     assert spark.read.parquet(f"{folder}/quarantine").count() == 1
     moves = spark.read.parquet(f"{folder}/transitions")
+    asked = moves.select("job_id").distinct().union(spark.createDataFrame([("z",)], "job_id string"))
+    answers = ledger.lookup(asked, ledger.latest(moves)).collect()
+    assert sorted((r.answer, r.status, r.document_type, r.route, r.error is None) for r in answers if r.status) == [
+        ("ready", "completed", "invoice", "auto_approve", True), ("ready", "failed", "unknown", None, False),
+    ]
+    assert [(r.answer, r.document_type) for r in answers if not r.status] == [("unknown", None)]
     assert moves.groupBy("job_id").count().where(F.col("count") == 3).count() == 2

@@ -20,6 +20,7 @@ from docmill.functions.text import (
     parse_iso_date,
     round2,
     strip,
+    to_float,
     unify_newlines,
 )
 
@@ -104,6 +105,9 @@ def test_white_space_set():
 
 def test_decode(spark):
     raw = [b"abc", b"a\xffb\xc3", "zoë".encode(), b"\xe2\x82 x", b""]
+    rng = random.Random(6)
+    units = [b"\xef\xbf\xbd", b"\xff", b"\xc3", b"\xa9", b"a", b"\xe2\x82", b"\xf0\x9f\x98\x80", b"\xed\xa0\x80", b"\x00"]
+    raw += [b"".join(rng.choice(units) for _ in range(rng.randint(1, 8))) for _ in range(200)]
     df = spark.createDataFrame([(i, bytearray(b)) for i, b in enumerate(raw)], "i int, b binary")
     got = [r.x for r in df.select("i", decode_utf8(F.col("b")).alias("x")).orderBy("i").collect()]
     assert got == [b.decode("utf-8", errors="ignore") for b in raw]
@@ -126,6 +130,29 @@ def test_numbers_as_text(spark):
             assert row.f == f"{x:.2f}", x
 
 
+def test_numbers_over_the_whole_range(spark):
+    rng = random.Random(5)
+    values = [12345678901234.126, 2.0**53, 1e23, 1e36, -1e100, 1.7976931348623157e308, 99.995]
+    values += [rng.uniform(-1, 1) * 10 ** rng.randint(-4, 300) for _ in range(500)]
+    values += [rng.uniform(1e12, 9e15) for _ in range(500)]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v double")
+    for r in df.select("v", round2(F.col("v")).alias("r"), format2(F.col("v")).alias("f")).collect():
+        assert (r.r, r.f) == (round(r.v, 2), "%.2f" % r.v)
+
+
+def test_digits_of_every_script(spark):
+    texts = ["٥", "१२٫५", "٥.٠٠", "１,２３４.５", "𝟙𝟚", "1e3", "x٥", ""]
+    got = column(spark, texts, to_float)
+
+    def plain(text):
+        try:
+            return float(text.replace(",", ""))
+        except ValueError:
+            return None
+
+    assert got == [plain(t) for t in texts]
+
+
 def test_iso_dates(spark):
     texts = [
         "2026-01-15", "20260115", "2026-W03-1", "2026W031", "2026-W53-1", "2020-W53-7", "2026-W03",
