@@ -31,8 +31,8 @@ EXAMPLES = 8000
 #: Examples in a block of a posting list, and neighbours that vote.
 BLOCK = 128
 NEIGHBOURS = 32
-#: Blocks scored between two looks at the last neighbour found.
-AT_ONCE = 4
+#: Blocks scored before the bounds of the others are compared with the last neighbour found.
+AT_ONCE = 6
 SHOWN = 3
 #: A vote weighs the similarity to this power; the base rate weighs as one close vote.
 POWER = 4
@@ -58,6 +58,8 @@ class Known(dict):
 
     def __init__(self, numbers: dict[str, int]) -> None:
         self.numbers = numbers
+        # What a word with a term starts with; all other words are passed over.
+        self.starts = {t.rstrip("*")[: BEGINNINGS[0]] for t in numbers}
 
     def __missing__(self, token: str) -> tuple:
         if len(self) > SEEN_WORDS:
@@ -71,7 +73,9 @@ def counts_of(text: str | None, known: Known) -> dict[int, int]:
     """How often each index term occurs in the whole text."""
     counts: dict[int, int] = {}
     if text:
-        for token, n in Counter(TOKEN.findall(text.lower())).items():
+        starts, first = known.starts, BEGINNINGS[0]
+        tokens = [t for t in TOKEN.findall(text.lower()) if t[:first] in starts]
+        for token, n in Counter(tokens).items():
             for term in known[token]:
                 counts[term] = counts.get(term, 0) + n
     return counts
@@ -180,12 +184,9 @@ class Index:
             for t, v in zip(at, values):
                 postings[t].append((i, v))
                 self.most[t, i // BLOCK] = max(self.most[t, i // BLOCK], v)
-        self.starts = np.zeros((len(terms), blocks + 1), np.int64)
         self.rows, self.values = [], []
-        for t, own in enumerate(postings):
-            at = np.array([i for i, _ in own], np.int64)
-            self.starts[t] = np.searchsorted(at, np.arange(blocks + 1) * BLOCK)
-            self.rows.append(at)
+        for own in postings:
+            self.rows.append(np.array([i for i, _ in own], np.int64))
             self.values.append(np.array([v for _, v in own], np.float64))
         total = self.weights.sum() + sum(blank)
         toxic = (self.weights * self.labels).sum() + blank[1]
@@ -199,30 +200,32 @@ class Index:
         return at, values / np.sqrt((values * values).sum())
 
     def nearest(self, at: np.ndarray, values: np.ndarray, without: int = -1) -> tuple:
-        """The examples with the largest cosine: blocks are scored from the largest bound down,
-        until no bound reaches the last neighbour found."""
+        """The examples with the largest cosine: the blocks with the largest bounds are scored,
+        and then only those whose bound exceeds the last neighbour found."""
         bounds = values @ self.most[at]
+        rows = np.concatenate([self.rows[t] for t in at])
+        parts = np.concatenate([v * self.values[t] for t, v in zip(at, values)])
+        limit, done = 0.0, np.zeros(len(bounds), bool)
         ids, sims = np.zeros(0, np.int64), np.zeros(0)
         order = np.argsort(-bounds, kind="stable")
-        for first in range(0, len(order), AT_ONCE):
-            blocks = order[first : first + AT_ONCE]
-            limit = sims[-1] if len(sims) == NEIGHBOURS else 0.0
+        for blocks in (order[:AT_ONCE], order[AT_ONCE:]):
             blocks = blocks[bounds[blocks] > limit]
             if not len(blocks):
                 break
-            scores = np.zeros((len(blocks), BLOCK))
-            for t, v in zip(at, values):
-                rows, own = self.rows[t], self.values[t]
-                for k, block in enumerate(blocks):
-                    low, high = self.starts[t, block], self.starts[t, block + 1]
-                    if low < high:
-                        scores[k, rows[low:high] - block * BLOCK] += v * own[low:high]
-            found = (blocks[:, None] * BLOCK + np.arange(BLOCK)).ravel()
-            flat = scores.ravel()
-            some = (flat > limit) & (found != without)
-            ids, sims = np.concatenate([ids, found[some]]), np.concatenate([sims, flat[some]])
+            done[:] = False
+            done[blocks] = True
+            some = done[rows // BLOCK]
+            scores = np.bincount(rows[some], parts[some], len(self.ids))
+            if without >= 0:
+                scores[without] = 0
+            found = np.flatnonzero(scores > limit)
+            ids, sims = np.concatenate([ids, found]), np.concatenate([sims, scores[found]])
+            if len(sims) > NEIGHBOURS:
+                least = np.partition(sims, len(sims) - NEIGHBOURS)[len(sims) - NEIGHBOURS]
+                ids, sims = ids[sims >= least], sims[sims >= least]
             best = np.lexsort((ids, -sims))[:NEIGHBOURS]
             ids, sims = ids[best], sims[best]
+            limit = sims[-1] if len(sims) == NEIGHBOURS else 0.0
         return ids, sims
 
     def vote(self, ids: np.ndarray, sims: np.ndarray) -> float:
