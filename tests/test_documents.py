@@ -1,6 +1,7 @@
 """Documents through the whole plan, and single rules on given fields."""
 
 import datetime as dt
+import json
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 from docmill.operators import extract, route, scan, validate
 from docmill.operators.gate import with_gate
 from docmill.operators.source_text import from_content, from_text
+from docmill.plans.batch import run_batch
 from docmill.plans.documents import process_documents
 from docmill.schemas import FIELDS, build_fields
 from docmill.settings import DEFAULT_RULES, Rules, Settings, load_rules
@@ -246,3 +248,14 @@ def test_alias_sync(spark):
     df = spark.range(1).select(fields.alias("f")).select(extract.sync_aliases(F.col("f")).alias("f"))
     f = df.first().f
     assert (f.total_amount, f.party_names) == (3.0, ["A"])
+
+
+def test_batch_writes_records_and_counts_errors(spark, tmp_path):
+    good = "INVOICE\nVendor: Globex\nInvoice #: 1\nDate: 2026-01-15\nContact: a@b.cc\nTotal: $5.00\n"
+    rows = [("a", bytearray(good.encode())), ("b", bytearray((good + "1 x Bad @ $1..2 = $3\n").encode()))]
+    files = spark.createDataFrame(rows, "job_id string, content binary")
+    out = str(tmp_path / "out")
+    assert run_batch(files, out, DEFAULT_RULES, as_of=dt.date(2026, 6, 1), redact=True) == 1
+    records = [json.loads(r.value) for r in spark.read.text(out).collect()]
+    assert {r["job_id"]: r["status"] for r in records} == {"a": "completed", "b": "failed"}
+    assert "a@b.cc" not in json.dumps(records)

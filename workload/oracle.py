@@ -899,6 +899,11 @@ ORACLE["flagship"] = (
     + ORACLE["document_results"]
     + ") GROUP BY ALL"
 )
+ORACLE["result_json"] = (
+    "SELECT job_id, status, document_type, route, n_issues, n_findings, retries FROM ("
+    + ORACLE["document_results"]
+    + ")"
+)
 ORACLE["result_roundtrip"] = with_(
     *INVOICE_ALL,
     final="SELECT job_id, CASE WHEN error IS NULL THEN 'completed' ELSE 'failed' END AS status,"

@@ -692,7 +692,21 @@ def document_results(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def result_json(spark: SparkSession, sf: str) -> DataFrame:
-    return results.to_record(processed(spark, sf), redact=True)
+    """Records as masked JSON text, and what a JSON reader finds in them."""
+    records = results.to_record(processed(spark, sf), redact=True)
+
+    def member(name: str) -> Column:
+        return F.get_json_object("result", f"$.{name}")
+
+    return records.select(
+        "job_id",
+        "status",
+        member("document_type").alias("document_type"),
+        member("route").alias("route"),
+        big(F.json_array_length(member("validation_issues"))).alias("n_issues"),
+        big(F.json_array_length(member("security_findings"))).alias("n_findings"),
+        big(member("retries")).alias("retries"),
+    )
 
 
 @query
