@@ -13,23 +13,24 @@ _STRINGS = T.ArrayType(T.StringType())
 _MAP = T.MapType(T.StringType(), T.StringType())
 
 
-def _typed(dtype: T.DataType, names: str) -> list[T.StructField]:
-    return [T.StructField(name, dtype) for name in names.split()]
+def _typed(dtype: T.DataType, names: list[str]) -> list[T.StructField]:
+    return [T.StructField(name, dtype) for name in names]
 
 
+# The names of all fields of a record, and which belong to each type.
 LINE_ITEM = T.StructType(
-    _typed(T.StringType(), "description")
-    + _typed(T.DoubleType(), "quantity unit_price amount line_total")
-    + _typed(T.StringType(), "hsn_sac_code")
-    + _typed(T.DoubleType(), "tax_rate")
+    _typed(T.StringType(), ["description"])
+    + _typed(T.DoubleType(), ["quantity", "unit_price", "amount", "line_total"])
+    + _typed(T.StringType(), ["hsn_sac_code"])
+    + _typed(T.DoubleType(), ["tax_rate"])
 )
 WORK = T.StructType(
-    _typed(T.StringType(), "company title start_date end_date")
-    + _typed(_STRINGS, "responsibilities")
+    _typed(T.StringType(), ["company", "title", "start_date", "end_date"])
+    + _typed(_STRINGS, ["responsibilities"])
 )
-EDUCATION = T.StructType(_typed(T.StringType(), "institution degree field graduation_year"))
-ISSUE = T.StructType(_typed(T.StringType(), "field message severity"))
-FINDING = T.StructType(_typed(T.StringType(), "category message severity detail"))
+EDUCATION = T.StructType(_typed(T.StringType(), ["institution", "degree", "field", "graduation_year"]))
+ISSUE = T.StructType(_typed(T.StringType(), ["field", "message", "severity"]))
+FINDING = T.StructType(_typed(T.StringType(), ["category", "message", "severity", "detail"]))
 
 # Values that stand in for an explicit or implicit null. Every other field is
 # nullable; arrays and maps are never null.
@@ -46,68 +47,67 @@ RECORD_DEFAULTS: dict[str, object] = {
 # One superset record over all document types; fields of other types stay null
 # or empty.
 FIELDS = T.StructType(
-    _typed(
-        T.StringType(),
-        "vendor_name invoice_number invoice_date due_date po_number currency"
-        " vendor_address vendor_tax_id vendor_bank_details bill_to ship_to",
-    )
+    _typed(T.StringType(), [
+            "vendor_name", "invoice_number", "invoice_date", "due_date", "po_number",
+            "currency", "vendor_address", "vendor_tax_id", "vendor_bank_details", "bill_to",
+            "ship_to",
+        ])
     + [T.StructField("line_items", T.ArrayType(LINE_ITEM))]
-    + _typed(
-        T.DoubleType(),
-        "subtotal tax_amount cgst sgst igst discount shipping grand_total total_amount",
-    )
-    + _typed(T.StringType(), "payment_terms payment_method")
-    + _typed(_STRINGS, "parties party_names")
-    + _typed(_MAP, "party_roles")
-    + _typed(
-        T.StringType(),
-        "effective_date expiration_date term_length renewal_type notice_period",
-    )
-    + _typed(T.DoubleType(), "contract_value")
-    + _typed(
-        T.StringType(),
-        "payment_schedule termination_clause liability_cap confidentiality"
-        " governing_law jurisdiction",
-    )
-    + _typed(T.BooleanType(), "signatures_present")
-    + _typed(_STRINGS, "signatory_names")
-    + _typed(T.StringType(), "candidate_name full_name email phone location")
-    + _typed(_STRINGS, "links")
-    + _typed(T.DoubleType(), "years_experience total_years_experience")
+    + _typed(T.DoubleType(), [
+            "subtotal", "tax_amount", "cgst", "sgst", "igst", "discount", "shipping",
+            "grand_total", "total_amount",
+        ])
+    + _typed(T.StringType(), ["payment_terms", "payment_method"])
+    + _typed(_STRINGS, ["parties", "party_names"])
+    + _typed(_MAP, ["party_roles"])
+    + _typed(T.StringType(), ["effective_date", "expiration_date", "term_length", "renewal_type", "notice_period"])
+    + _typed(T.DoubleType(), ["contract_value"])
+    + _typed(T.StringType(), [
+            "payment_schedule", "termination_clause", "liability_cap", "confidentiality",
+            "governing_law", "jurisdiction",
+        ])
+    + _typed(T.BooleanType(), ["signatures_present"])
+    + _typed(_STRINGS, ["signatory_names"])
+    + _typed(T.StringType(), ["candidate_name", "full_name", "email", "phone", "location"])
+    + _typed(_STRINGS, ["links"])
+    + _typed(T.DoubleType(), ["years_experience", "total_years_experience"])
     + [
         T.StructField("work_history", T.ArrayType(WORK)),
         T.StructField("education", T.ArrayType(EDUCATION)),
     ]
-    + _typed(_STRINGS, "skills certifications languages")
-    + _typed(
-        T.StringType(),
-        "id_type id_number date_of_birth expiry_date issuing_authority nationality",
-    )
-    + _typed(_MAP, "extra")
+    + _typed(_STRINGS, ["skills", "certifications", "languages"])
+    + _typed(T.StringType(), [
+            "id_type", "id_number", "date_of_birth", "expiry_date", "issuing_authority",
+            "nationality",
+        ])
+    + _typed(_MAP, ["extra"])
 )
 
 FIELD_TYPES: dict[str, T.DataType] = {f.name: f.dataType for f in FIELDS.fields}
 
 # The part of the record that belongs to each document type.
 FIELDS_BY_TYPE: dict[str, list[str]] = {
-    "invoice": (
-        "vendor_name invoice_number invoice_date due_date po_number currency vendor_address"
-        " vendor_tax_id vendor_bank_details bill_to ship_to line_items subtotal tax_amount"
-        " cgst sgst igst discount shipping grand_total payment_terms payment_method"
-    ).split(),
-    "contract": (
-        "party_names party_roles effective_date expiration_date term_length renewal_type"
-        " notice_period contract_value currency payment_schedule termination_clause"
-        " liability_cap confidentiality governing_law jurisdiction signatures_present"
-        " signatory_names"
-    ).split(),
-    "resume": (
-        "full_name candidate_name email phone location links total_years_experience"
-        " work_history education skills certifications languages"
-    ).split(),
-    "id_document": (
-        "id_type full_name id_number date_of_birth expiry_date issuing_authority nationality"
-    ).split(),
+    "invoice": [
+        "vendor_name", "invoice_number", "invoice_date", "due_date", "po_number", "currency",
+        "vendor_address", "vendor_tax_id", "vendor_bank_details", "bill_to", "ship_to",
+        "line_items", "subtotal", "tax_amount", "cgst", "sgst", "igst", "discount", "shipping",
+        "grand_total", "payment_terms", "payment_method",
+    ],
+    "contract": [
+        "party_names", "party_roles", "effective_date", "expiration_date", "term_length",
+        "renewal_type", "notice_period", "contract_value", "currency", "payment_schedule",
+        "termination_clause", "liability_cap", "confidentiality", "governing_law",
+        "jurisdiction", "signatures_present", "signatory_names",
+    ],
+    "resume": [
+        "full_name", "candidate_name", "email", "phone", "location", "links",
+        "total_years_experience", "work_history", "education", "skills", "certifications",
+        "languages",
+    ],
+    "id_document": [
+        "id_type", "full_name", "id_number", "date_of_birth", "expiry_date",
+        "issuing_authority", "nationality",
+    ],
 }
 
 RESULT = T.StructType(
