@@ -25,7 +25,9 @@ PARTITION_TOKENS = 4_000_000
 RELEASED = 8
 ROUNDS = 4
 #: A task forgets the words it has seen beyond so many.
-SEEN_WORDS = 2_000_000
+SEEN_WORDS = 1_000_000
+#: Marks that end a run of letters and are a token of their own behind one.
+MARKS = ".,!?;:"
 
 
 class WordIds(dict):
@@ -40,41 +42,38 @@ class WordIds(dict):
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.model = self.tokenizer.model
+        vocabulary = self.tokenizer.get_vocab()
+        size = max(vocabulary.values()) + 1
+        self.as_bytes = [i.to_bytes(4, "little") for i in range(size)]
+        self.is_end = np.zeros(size, bool)
+        self.is_end[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self.marks = {m: self.whole([m])[0] for m in MARKS}
+        self.marks[""] = b""
 
     def learn(self, words: set[str]) -> None:
         """Encode words; one mark behind a letter is a token of its own."""
         if len(self) + len(words) > SEEN_WORDS:
             self.clear()
         plain: dict[str, list] = {}
-        other = []
-        for word in words:
-            if word.isascii():
-                low = word.lower()
-                if low.isalpha():
-                    plain.setdefault(low, []).append((word, ""))
-                    continue
-                if low[-1:] in ".,!?;:" and low[:-1].isalpha():
-                    plain.setdefault(low[:-1], []).append((word, low[-1]))
-                    continue
-            other.append(word)
-        marks = {m: self.whole([m])[0] for m in ".,!?;:"}
-        marks[""] = b""
-        for low, forms in plain.items():
-            ids = np.array([t.id for t in self.model.tokenize(low)], "<u4").tobytes()
-            for word, mark in forms:
-                self[word] = ids + marks[mark]
         stems: dict[str, list] = {}
         rest = []
-        for word in other:
-            if word[-1:] in marks and word[:-1].isalpha():
-                stems.setdefault(word[:-1], []).append((word, word[-1]))
-            elif word.isalpha():
-                stems.setdefault(word, []).append((word, ""))
-            else:
+        for word in words:
+            stem, mark = (word[:-1], word[-1]) if word[-1:] in self.marks else (word, "")
+            low = stem.lower()
+            if not stem.isalpha() or not low.isalpha():  # a capital can lose its mark
                 rest.append(word)
-        for stem, ids in zip(stems, self.whole(list(stems))):
+            elif stem.isascii():
+                plain.setdefault(low, []).append((word, mark))
+            else:
+                stems.setdefault(stem, []).append((word, mark))
+        as_bytes = self.as_bytes
+        for low, forms in plain.items():
+            ids = b"".join([as_bytes[t.id] for t in self.model.tokenize(low)])
+            for word, mark in forms:
+                self[word] = ids + self.marks[mark]
+        for stem, ids in zip(stems, self.letters(list(stems))):
             for word, mark in stems[stem]:
-                self[word] = ids + marks[mark]
+                self[word] = ids + self.marks[mark]
         self.update(zip(rest, self.whole(rest)))
 
     def whole(self, words: list[str]) -> list[bytes]:
@@ -84,6 +83,21 @@ class WordIds(dict):
             out += [np.array(e.ids, "<u4").tobytes() for e in encoded]
         return out
 
+    def letters(self, words: list[str]) -> list[bytes]:
+        """Ids of words of letters only, many in one call: the last token of each is marked as
+        the end of a word. Where a word gives several ends, its group is encoded word by word."""
+        groups = [words[at : at + 256] for at in range(0, len(words), 256)]
+        encoded = self.tokenizer.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False)
+        out: list[bytes] = []
+        for group, found in zip(groups, encoded):
+            ids = np.array(found.ids, "<u4")
+            ends = np.flatnonzero(self.is_end[ids]) + 1
+            if len(ends) != len(group):
+                out += self.whole(group)
+            else:
+                out += [part.tobytes() for part in np.split(ids, ends[:-1])]
+        return out
+
 
 def cut(text: str | None) -> list[str]:
     """Words between white space that every tokenizer takes for white space."""
@@ -200,7 +214,7 @@ def lower_bound(lengths: np.ndarray, capacity: int) -> int:
 
 def pack_once(pieces: DataFrame, capacity: int, turn: int) -> DataFrame:
     """Each partition packed by itself, with its number of bins and its bound. A partition
-    with a gap releases its emptiest bins."""
+    releases its emptiest bin, and with a gap several."""
     extra = "sequence_id long, offset long, bins long, bound long, released boolean"
     names = pieces.columns
     schema = T.StructType(pieces.schema.fields + T._parse_datatype_string(extra).fields)
@@ -215,8 +229,7 @@ def pack_once(pieces: DataFrame, capacity: int, turn: int) -> DataFrame:
         bound = lower_bound(lengths, capacity)
         fill = np.bincount(own, weights=lengths, minlength=n)
         given = np.zeros(n, bool)
-        if n > bound:
-            given[np.argsort(fill, kind="stable")[: RELEASED * (n - bound)]] = True
+        given[np.argsort(fill, kind="stable")[: max(1, RELEASED * (n - bound))]] = True
         first = (turn << 52) | (TaskContext.get().partitionId() << 28)
         arrays = [table.column(c).combine_chunks() for c in names] + [
             pa.array(first + own, pa.int64()),
@@ -241,15 +254,15 @@ def pack(
     """Pieces with ``sequence_id``, ``offset`` and the certificate of the partition that packed
     them (``bins`` used, ``bound`` that any packing of its pieces needs).
 
-    Pieces are dealt evenly to partitions, whatever their keys. Partitions that use more bins
-    than their bound release their emptiest bins; the released pieces are dealt anew and packed
-    again. A round is kept if it needs fewer bins than were released. ``settle`` stores a
+    Pieces are dealt evenly to partitions, whatever their keys. Partitions release their
+    emptiest bin, and several for each bin above their bound; the released pieces are dealt anew, to
+    partitions twice as large in each round, and packed again. A round is kept if it needs fewer bins than were released. ``settle`` stores a
     DataFrame that is read more than once."""
     columns = pieces.columns
     work, done, held = settle(pieces), [], None
     for turn in range(rounds):
         tokens = work.agg(F.sum("length")).first()[0] or 0
-        parts = max(1, -(-tokens // partition_tokens))
+        parts = max(1, -(-tokens // (partition_tokens << turn)))
         packed = settle(pack_once(work.repartition(int(parts)), capacity, turn))
         used, free = packed.agg(
             F.countDistinct("sequence_id"), F.countDistinct(F.expr("if(released, sequence_id, null)"))
