@@ -87,7 +87,8 @@ def labelled(docs: DataFrame, labels: DataFrame, learn: Column) -> DataFrame:
     known = labels.where(F.col("toxic").isNotNull()).groupBy("doc_id")
     known = known.agg(F.max(F.col("toxic").cast("int")).alias("label"))
     texts = docs.where(learn & F.col("text").isNotNull()).select("doc_id", "text")
-    return texts.join(known, "doc_id")
+    # Labels grow with the documents, so they are never broadcast, not even few.
+    return texts.join(known.hint("merge"), "doc_id")
 
 
 def choose_terms(rows: DataFrame) -> pd.DataFrame:
