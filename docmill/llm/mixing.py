@@ -294,6 +294,6 @@ def mixed_documents(
     taken = with_times(with_block(rows, plan, seed)).dropDuplicates(["roll"])
     places = settled(mixed_copies(taken, seed, shard_words).select("roll", "shard", "shuffle"))
     whole = F.struct(*[column(c) for c in df.columns]).alias("whole")
-    out = df.select(whole, roll_of(keys, text, seed).alias("roll")).join(places, "roll")
+    out = df.select(whole, roll_of(keys, text, seed).alias("roll")).join(places.hint("merge"), "roll")
     out = out.repartition("shard").sortWithinPartitions("shard", "shuffle", "roll")
     return out.select("whole.*")
