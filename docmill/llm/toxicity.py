@@ -1,14 +1,17 @@
-"""Toxicity by the nearest labelled examples: exact TF-IDF cosine on block-max indexes."""
+"""Toxicity by the nearest labelled examples: exact TF-IDF cosine over all words of the
+examples, on block-max indexes."""
 
 from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
+from hashlib import blake2b
+from itertools import chain
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -19,26 +22,25 @@ from docmill.llm.shared import per_text, settled, slices
 #: Letters and digits in a row; besides the word, its beginnings of these lengths are terms.
 TOKEN = re.compile(r"[^\W_]+")
 BEGINNINGS = (4, 5, 6)
-#: The index holds terms that make a document so many times likelier toxic than documents are
-#: on the whole, if this sure (chi-squared with one degree of freedom) and in so many toxic
-#: documents, the surest so many.
-LEAST_LIFT = 2.5
-LEAST_CHI2 = 15.0
-LEAST_TOXIC = 5
-MOST_TERMS = 4096
 #: Labelled documents that serve as examples, of each label.
 EXAMPLES = 8000
-#: Examples in a block of a posting list, and neighbours that vote.
+#: The terms in most examples, whose weights are columns of a matrix in place of posting lists.
+COMMON = 1024
+#: Examples in a block, and neighbours that vote.
 BLOCK = 128
 NEIGHBOURS = 32
-#: Blocks scored before the bounds of the others are compared with the last neighbour found.
+#: Blocks scored before the bounds of the others are compared with the last neighbour found,
+#: and texts scored together.
 AT_ONCE = 6
+QUERIES = 128
 SHOWN = 3
 #: A vote weighs the similarity to this power; the base rate weighs as one close vote.
 POWER = 4
 PRIOR = 0.5
 #: A task forgets the words it has seen beyond so many.
-SEEN_WORDS = 2_000_000
+SEEN_WORDS = 500_000
+#: Terms whose counts are one row while they are summed.
+CHUNK = 1 << 16
 FIELDS = T.StructType(
     [
         T.StructField("score", T.DoubleType()),
@@ -58,8 +60,6 @@ class Known(dict):
 
     def __init__(self, numbers: dict[str, int]) -> None:
         self.numbers = numbers
-        # What a word with a term starts with; all other words are passed over.
-        self.starts = {t.rstrip("*")[: BEGINNINGS[0]] for t in numbers}
 
     def __missing__(self, token: str) -> tuple:
         if len(self) > SEEN_WORDS:
@@ -69,165 +69,245 @@ class Known(dict):
         return found
 
 
-def counts_of(text: str | None, known: Known) -> dict[int, int]:
-    """How often each index term occurs in the whole text."""
-    counts: dict[int, int] = {}
-    if text:
-        starts, first = known.starts, BEGINNINGS[0]
-        tokens = [t for t in TOKEN.findall(text.lower()) if t[:first] in starts]
-        for token, n in Counter(tokens).items():
-            for term in known[token]:
-                counts[term] = counts.get(term, 0) + n
-    return counts
+def counts_of(text: str | None, known: Known) -> tuple[np.ndarray, np.ndarray]:
+    """The index terms of the whole text, ascending, and how often each occurs."""
+    words = Counter(TOKEN.findall(text.lower())) if text else Counter()
+    found = [known[w] for w in words]
+    at = np.fromiter(chain.from_iterable(found), np.int64)
+    times = np.repeat(np.fromiter(words.values(), np.int64), np.fromiter(map(len, found), np.int64))
+    at, place = np.unique(at, return_inverse=True)
+    return at, np.bincount(place, times, len(at)).astype(np.int64)
+
+
+def packed(at: np.ndarray, times: np.ndarray) -> bytes:
+    """Terms, ascending, and their numbers of occurrences, made small."""
+    return zlib.compress(np.diff(at, prepend=0).astype("<u4").tobytes() + times.astype("<u4").tobytes(), 1)
+
+
+def unpacked(counts: dict[int, int] | bytes) -> tuple[np.ndarray, np.ndarray]:
+    if isinstance(counts, bytes):
+        deltas, times = np.frombuffer(zlib.decompress(counts), "<u4").reshape(2, -1).astype(np.int64)
+        return np.cumsum(deltas), times
+    at = np.array(sorted(counts), np.int64)
+    return at, np.array([counts[t] for t in at], np.int64)
 
 
 def labelled(docs: DataFrame, labels: DataFrame, learn: Column) -> DataFrame:
-    """(doc_id, text, label) of the rows to learn from; a document with several labels is
-    toxic if one says so."""
+    """(doc_id, label) of the rows to learn from; a document with several labels is toxic if
+    one says so."""
     known = labels.where(F.col("toxic").isNotNull()).groupBy("doc_id")
     known = known.agg(F.max(F.col("toxic").cast("int")).alias("label"))
-    texts = docs.where(learn & F.col("text").isNotNull()).select("doc_id", "text")
+    rows = docs.where(learn & F.col("text").isNotNull()).select("doc_id")
     # Labels grow with the documents, so they are never broadcast, not even few.
-    return texts.join(known.hint("merge"), "doc_id")
+    return rows.join(known.hint("merge"), "doc_id")
 
 
-def choose_terms(rows: DataFrame) -> pd.DataFrame:
-    """(term, toxic, other): the index terms and in how many learning rows they occur."""
+def all_terms(sample: DataFrame) -> list[str]:
+    """Every term of the examples, whose number is bounded."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = (Counter(), Counter())
         for batch in batches:
             for part in slices(batch, "text"):
-                texts, marks = part.column("text").to_pylist(), part.column("label").to_pylist()
-                for text, mark in zip(texts, marks):
-                    tokens = set(TOKEN.findall(text.lower()))
-                    found = set(tokens)
-                    for n in BEGINNINGS:
-                        found.update([t[:n] + "*" for t in tokens if len(t) >= n])
-                    counts[mark == 1].update(found)
-                if max(map(len, counts)) > SEEN_WORDS:
-                    yield from flushed(counts)
-        yield from flushed(counts)
-
-    def flushed(counts) -> Iterator[pa.RecordBatch]:
-        terms = list(counts[0].keys() | counts[1].keys())
-        for at in range(0, len(terms), 50_000):
-            part = terms[at : at + 50_000]
-            arrays = [pa.array(part, pa.string())]
-            arrays += [pa.array([counts[k][t] for t in part], pa.int64()) for k in (1, 0)]
-            yield pa.RecordBatch.from_arrays(arrays, names=["term", "toxic", "other"])
-        counts[0].clear()
-        counts[1].clear()
-
-    size = rows.groupBy().agg(
-        F.coalesce(F.sum((F.col("label") == 1).cast("long")), F.lit(0)).alias("toxic"),
-        F.coalesce(F.sum((F.col("label") != 1).cast("long")), F.lit(0)).alias("other"),
-    )
-    toxic, other = (int(n) for n in size.first())
-    found = rows.select("text", "label").mapInArrow(run, "term string, toxic long, other long")
-    found = found.groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
-    a, b = F.col("toxic").cast("double"), F.col("other").cast("double")
-    c, d = F.lit(float(toxic)) - a, F.lit(float(other)) - b
-    n = float(toxic + other)
-    chi2 = n * F.pow(a * d - b * c, F.lit(2)) / ((a + b) * (c + d) * toxic * other)
-    lifted = a * n >= LEAST_LIFT * toxic * (a + b)
-    sure = found.where((a >= LEAST_TOXIC) & lifted & (c + d > 0) & F.lit(toxic * other > 0))
-    sure = sure.withColumn("chi2", chi2).where(F.col("chi2") >= LEAST_CHI2)
-    return sure.orderBy(F.desc("chi2"), "term").limit(MOST_TERMS).toPandas()
+                tokens = set()
+                for text in part.column("text").to_pylist():
+                    tokens.update(TOKEN.findall(text.lower()))
+                terms = list({t for token in tokens for t in terms_of(token)})
+                yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string())], names=["term"])
+
+    return sorted(sample.select("text").mapInArrow(run, "term string").distinct().toArrow()["term"].to_pylist())
+
+
+def joined(terms: list[str]) -> bytes:
+    return zlib.compress("\n".join(terms).encode(), 1)
+
+
+def numbered(terms: bytes) -> dict[str, int]:
+    """Numbers of the joined terms."""
+    return {t: i for i, t in enumerate(zlib.decompress(terms).decode().split("\n")) if t}
 
 
 def document_frequencies(docs: DataFrame, terms: list[str]) -> tuple[np.ndarray, int]:
-    """In how many of all documents each index term occurs, and how many there are."""
-    numbers = {t: i for i, t in enumerate(terms)}
+    """In how many of all documents each index term occurs, and how many there are.
+    Tasks sum first; their sums are added up chunk by chunk."""
+    shared = docs.sparkSession.sparkContext.broadcast(joined(terms))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, total = Known(numbers), np.zeros(len(numbers) + 1, np.int64)
+        known = Known(numbered(shared.value))
+        total = np.zeros(len(known.numbers) + 1, np.int64)
         for batch in batches:
             for part in slices(batch, "text"):
                 for text in part.column("text").to_pylist():
                     total[-1] += 1
-                    for term in counts_of(text, known):
-                        total[term] += 1
-        at = np.arange(len(total))
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total)], names=["at", "n"])
-
-    found = docs.select("text").mapInArrow(run, "at long, n long")
-    rows = found.groupBy("at").agg(F.sum("n").alias("n")).toPandas()  # at most MOST_TERMS + 1
+                    total[counts_of(text, known)[0]] += 1
+        for at in range(0, len(total), CHUNK):
+            if total[at : at + CHUNK].any():
+                yield row(at // CHUNK, total[at : at + CHUNK])
+
+    def row(chunk: int, counts: np.ndarray) -> pa.RecordBatch:
+        payload = zlib.compress(counts.astype("<i8").tobytes(), 1)
+        return pa.RecordBatch.from_arrays(
+            [pa.array([chunk], pa.int32()), pa.array([payload], pa.binary())], names=["chunk", "counts"]
+        )
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for chunk, payload in zip(*(batch.column(i).to_pylist() for i in range(2))):
+                counts = np.frombuffer(zlib.decompress(payload), "<i8")
+                held[chunk] = held[chunk] + counts if chunk in held else counts
+        for chunk, counts in held.items():
+            yield row(chunk, counts)
+
+    kind = "chunk int, counts binary"
+    chunks = len(terms) // CHUNK + 1
+    found = docs.select("text").mapInArrow(run, kind).repartition(min(chunks, 64), "chunk").mapInArrow(sums, kind)
     out = np.zeros(len(terms) + 1, np.int64)
-    out[rows["at"].to_numpy(int)] = rows["n"].to_numpy(int)
+    for own in found.collect():  # one row per chunk
+        counts = np.frombuffer(zlib.decompress(own["counts"]), "<i8")
+        out[own["chunk"] * CHUNK :][: len(counts)] = counts
     return out[:-1], int(out[-1])
 
 
+def occurrences(texts: list, terms: int) -> np.ndarray:
+    """In how many of these texts, lists of their terms, each term occurs."""
+    total = np.zeros(terms, np.int64)
+    for counts in texts:
+        total[unpacked(counts)[0]] += 1
+    return total
+
+
+def evidence(a: np.ndarray, n_a: int, b: np.ndarray, n_b: int) -> np.ndarray:
+    """By how much a term's weight grows for telling the labels apart: the root of the chi-squared
+    statistic with Yates' correction, one at least, so that no term is left out."""
+    n = n_a + n_b
+    if not n_a * n_b:
+        return np.ones(len(a))
+    a, b = a.astype(np.float64), b.astype(np.float64)
+    apart = np.maximum(np.abs(a * n_b - b * n_a) - n / 2, 0)
+    return np.maximum(1, apart * np.sqrt(n / np.maximum((a + b) * (n - a - b) * n_a * n_b, 1)))
+
+
 class Index:
-    """Posting lists in blocks of examples, each with the largest weight that a term has in it."""
+    """Examples in blocks: their rare terms in posting lists, the common ones in a matrix, with
+    the largest weight that a common term has in each block."""
 
     def __init__(self, terms: list[str], idf: np.ndarray, examples: list[tuple]) -> None:
-        """``examples``: (doc_id, label, counts by term), the label's weight in the votes last."""
-        self.terms, self.idf = terms, idf
-        self.numbers = {t: i for i, t in enumerate(terms)}
-        rows = []
+        """``examples``: (doc_id, label, counts by term or packed, the label's weight in the
+        votes)."""
+        self.terms, self.idf, self.examples = terms, idf, examples
+        rows, held = [], np.zeros(len(terms), np.int64)
         blank = [0.0, 0.0]
         for doc_id, label, counts, weight in examples:
-            if counts:
-                at, values = self.vector(counts)
-                rows.append((at, values, doc_id, label, weight))
+            if len(at := unpacked(counts)[0]):
+                held[at] += 1
+                rows.append((counts, doc_id, label, weight))
             else:
                 blank[label] += weight
-        # Examples with the same leading terms share blocks, which keeps the bounds tight.
-        rows.sort(key=lambda r: (r[0][np.argsort(-r[1], kind="stable")].tolist(), r[2]))
-        self.ids = np.array([r[2] for r in rows], np.int64)
-        self.labels = np.array([r[3] for r in rows], np.float64)
-        self.weights = np.array([r[4] for r in rows], np.float64)
+        # Places of the common terms among the columns, the one in most examples first.
+        common = np.argsort(-held, kind="stable")[:COMMON]
+        self.column = np.full(len(terms), -1, np.int64)
+        self.column[common] = np.arange(len(common))
+        # Examples with the same commonest terms share blocks, which keeps the bounds tight.
+        columns = (self.column[unpacked(counts)[0]] for counts, *_ in rows)
+        leading = [np.sort(c[c >= 0])[:8].tolist() for c in columns]
+        rows = [rows[i] for i in sorted(range(len(rows)), key=lambda i: (leading[i], rows[i][1]))]
+        self.ids = np.array([r[1] for r in rows], np.int64)
+        self.labels = np.array([r[2] for r in rows], np.float64)
+        self.weights = np.array([r[3] for r in rows], np.float64)
         blocks = max(1, -(-len(rows) // BLOCK))
-        self.most = np.zeros((len(terms), blocks), np.float64)
-        postings: list[list] = [[] for _ in terms]
-        for i, (at, values, *_) in enumerate(rows):
-            for t, v in zip(at, values):
-                postings[t].append((i, v))
-                self.most[t, i // BLOCK] = max(self.most[t, i // BLOCK], v)
-        self.rows, self.values = [], []
-        for own in postings:
-            self.rows.append(np.array([i for i, _ in own], np.int64))
-            self.values.append(np.array([v for _, v in own], np.float64))
+        self.dense = np.zeros((len(rows), len(common)), np.float32)
+        self.most = np.zeros((blocks, len(common)), np.float32)
+        self.starts = np.concatenate([[0], np.cumsum(np.where(self.column < 0, held, 0))])
+        self.rows = np.zeros(self.starts[-1], np.int32)
+        self.values = np.zeros(self.starts[-1], np.float32)
+        free = self.starts[:-1].copy()
+        for i, (counts, *_) in enumerate(rows):
+            at, values = self.vector(counts)
+            column = self.column[at]
+            own = column >= 0
+            self.dense[i, column[own]] = values[own]
+            place = free[at[~own]]
+            self.rows[place], self.values[place] = i, values[~own]
+            free[at[~own]] += 1
+        for k in range(0, len(rows), BLOCK):
+            self.most[k // BLOCK] = self.dense[k : k + BLOCK].max(0)
+        #: How far a product of rows in single precision may be from the exact one.
+        self.margin = (len(common) + 4) * 2.0**-23
         total = self.weights.sum() + sum(blank)
         toxic = (self.weights * self.labels).sum() + blank[1]
         self.base = (toxic + 0.5) / (total + 1)
         self.blank = (blank[1] + self.base) / (sum(blank) + 1)
         self.slope, self.shift = 1.0, 0.0
 
-    def vector(self, counts: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
-        at = np.array(sorted(counts), np.int64)
-        values = np.array([1 + math.log(counts[t]) for t in at]) * self.idf[at]
+    def __getstate__(self) -> tuple:
+        """What the index is made from, which is much smaller than the index."""
+        return joined(self.terms), self.idf, self.examples, self.slope, self.shift
+
+    def __setstate__(self, state: tuple) -> None:
+        terms, idf, examples, slope, shift = state
+        self.__init__(list(numbered(terms)), idf, examples)
+        self.slope, self.shift = slope, shift
+
+    def vector(self, counts: dict[int, int] | bytes | tuple) -> tuple[np.ndarray, np.ndarray]:
+        """Terms, ascending, and weights of length 1."""
+        at, times = counts if isinstance(counts, tuple) else unpacked(counts)
+        values = (1 + np.log(times)) * self.idf[at]
         return at, values / np.sqrt((values * values).sum())
 
     def nearest(self, at: np.ndarray, values: np.ndarray, without: int = -1) -> tuple:
-        """The examples with the largest cosine: the blocks with the largest bounds are scored,
-        and then only those whose bound exceeds the last neighbour found."""
-        bounds = values @ self.most[at]
-        rows = np.concatenate([self.rows[t] for t in at])
-        parts = np.concatenate([v * self.values[t] for t, v in zip(at, values)])
-        limit, done = 0.0, np.zeros(len(bounds), bool)
-        ids, sims = np.zeros(0, np.int64), np.zeros(0)
-        order = np.argsort(-bounds, kind="stable")
-        for blocks in (order[:AT_ONCE], order[AT_ONCE:]):
-            blocks = blocks[bounds[blocks] > limit]
-            if not len(blocks):
-                break
-            done[:] = False
-            done[blocks] = True
-            some = done[rows // BLOCK]
-            scores = np.bincount(rows[some], parts[some], len(self.ids))
-            if without >= 0:
-                scores[without] = 0
-            found = np.flatnonzero(scores > limit)
-            ids, sims = np.concatenate([ids, found]), np.concatenate([sims, scores[found]])
-            if len(sims) > NEIGHBOURS:
-                least = np.partition(sims, len(sims) - NEIGHBOURS)[len(sims) - NEIGHBOURS]
-                ids, sims = ids[sims >= least], sims[sims >= least]
+        return self.nearest_of([(at, values)], [without])[0]
+
+    def nearest_of(self, queries: list[tuple], without: list[int]) -> list[tuple]:
+        """The examples with the largest cosine to each query. Rare terms are summed over their
+        postings; the common ones are added in the blocks with the largest bounds, and then only
+        in those whose bound reaches the last neighbour found. Products in single precision
+        choose; whatever they leave within their error is computed in double precision."""
+        n, blocks = len(self.ids), len(self.most)
+        if not n:
+            return [(np.zeros(0, np.int64), np.zeros(0))] * len(queries)
+        rare = np.zeros((len(queries), n))
+        common = np.zeros((len(queries), self.dense.shape[1]))
+        for i, (at, values) in enumerate(queries):
+            column = self.column[at]
+            own = column >= 0
+            common[i, column[own]] = values[own]
+            at, values = at[~own], values[~own]
+            low, high = self.starts[at], self.starts[at + 1]
+            if high.sum() > low.sum():
+                spans = list(map(slice, low.tolist(), high.tolist()))
+                rows = np.concatenate([self.rows[s] for s in spans])
+                parts = np.concatenate([self.values[s] for s in spans]) * np.repeat(values, high - low)
+                rare[i] = np.bincount(rows, parts, n)
+        for i, row in enumerate(without):
+            if row >= 0:
+                rare[i, row] = -np.inf
+        single = common.astype(np.float32)
+        bounds = np.maximum.reduceat(rare, np.arange(0, n, BLOCK), 1) + single @ self.most.T + self.margin
+        about = np.full((len(queries), n), -np.inf)
+
+        def add(chosen: np.ndarray) -> None:
+            for k in np.flatnonzero(chosen.any(0)):
+                own, part = np.flatnonzero(chosen[:, k]), slice(k * BLOCK, (k + 1) * BLOCK)
+                about[own, part] = rare[own, part] + single[own] @ self.dense[part].T
+
+        def last() -> np.ndarray:
+            if n <= NEIGHBOURS:
+                return np.zeros(len(queries))
+            return np.maximum(np.partition(about, n - NEIGHBOURS, 1)[:, n - NEIGHBOURS], 0)
+
+        first = np.zeros(bounds.shape, bool)
+        np.put_along_axis(first, np.argsort(-bounds, axis=1, kind="stable")[:, :AT_ONCE], True, 1)
+        add(first)
+        if blocks > AT_ONCE:
+            add(~first & (bounds >= last()[:, None] - self.margin))
+        out = []
+        for i, limit in enumerate(last()):
+            ids = np.flatnonzero(about[i] >= limit - 2 * self.margin)
+            sims = rare[i, ids] + (self.dense[ids] * common[i]).sum(1)
+            ids, sims = ids[sims > 0], sims[sims > 0]
             best = np.lexsort((ids, -sims))[:NEIGHBOURS]
-            ids, sims = ids[best], sims[best]
-            limit = sims[-1] if len(sims) == NEIGHBOURS else 0.0
-        return ids, sims
+            out.append((ids[best], sims[best]))
+        return out
 
     def vote(self, ids: np.ndarray, sims: np.ndarray) -> float:
         if not len(ids):
@@ -239,21 +319,25 @@ class Index:
     def calibrate(self, most: int = 4000) -> None:
         """A logistic curve over the votes that examples get from the others."""
         step = max(1, len(self.ids) // most)
-        raw, label, weight = [], [], []
-        vectors: dict[int, list] = {i: [] for i in range(0, len(self.ids), step)}
-        for t, (rows, values) in enumerate(zip(self.rows, self.values)):
-            for i, v in zip(rows.tolist(), values.tolist()):
-                if i in vectors:
-                    vectors[i].append((t, v))
-        for i, own in vectors.items():
-            at, values = np.array([t for t, _ in own], np.int64), np.array([v for _, v in own])
-            raw.append(self.vote(*self.nearest(at, values, without=i)))
-            label.append(self.labels[i])
-            weight.append(self.weights[i])
+        some = np.arange(0, len(self.ids), step)
+        terms = np.repeat(np.arange(len(self.terms)), np.diff(self.starts))
+        order = np.argsort(self.rows, kind="stable")
+        ends = np.searchsorted(self.rows[order], np.arange(len(self.ids) + 1))
+        columns = np.argsort(np.where(self.column < 0, len(self.column), self.column), kind="stable")
+        raw = []
+        for at in range(0, len(some), QUERIES):
+            part, queries = some[at : at + QUERIES].tolist(), []
+            for i in part:
+                own, whole = order[ends[i] : ends[i + 1]], np.flatnonzero(self.dense[i])
+                places = np.concatenate([terms[own], columns[whole]])
+                values = np.concatenate([self.values[own], self.dense[i, whole]]).astype(np.float64)
+                queries.append((places, values))
+            raw += [self.vote(*found) for found in self.nearest_of(queries, part)]
+        label, weight = self.labels[some], self.weights[some]
         if len(set(label)) < 2:
             return
         x = np.log(np.clip(raw, 1e-4, 1 - 1e-4) / (1 - np.clip(raw, 1e-4, 1 - 1e-4)))
-        y, w = np.array(label), np.array(weight)
+        y, w = label, weight
         features = np.stack([x, np.ones_like(x)], 1)
         beta = np.array([1.0, 0.0])
         for _ in range(30):
@@ -264,54 +348,57 @@ class Index:
         if beta[0] > 0:
             self.slope, self.shift = float(beta[0]), float(beta[1])
 
-    def score(self, counts: dict[int, int]) -> tuple[float, list[int], list[str]]:
-        """Score, nearest examples and the terms that weigh most."""
-        if not counts:
-            return min(self.blank, 1.0), [], []
-        at, values = self.vector(counts)
-        ids, sims = self.nearest(at, values)
-        raw = min(max(self.vote(ids, sims), 1e-4), 1 - 1e-4)
-        if len(ids):
-            raw = 1 / (1 + math.exp(-self.slope * math.log(raw / (1 - raw)) - self.shift))
-        strong = at[np.argsort(-values, kind="stable")[:SHOWN]]
-        return raw, self.ids[ids[:SHOWN]].tolist(), [self.terms[t] for t in strong]
+    def score(self, texts: list[tuple]) -> list[tuple[float, list[int], list[str]]]:
+        """Score, nearest examples and the terms that weigh most, of each text's counts."""
+        out = [(min(self.blank, 1.0), [], [])] * len(texts)
+        some = [i for i, (at, _) in enumerate(texts) if len(at)]
+        queries = [self.vector(texts[i]) for i in some]
+        found = self.nearest_of(queries, [-1] * len(some))
+        for i, (at, values), (ids, sims) in zip(some, queries, found):
+            raw = min(max(self.vote(ids, sims), 1e-4), 1 - 1e-4)
+            if len(ids):
+                raw = 1 / (1 + math.exp(-self.slope * math.log(raw / (1 - raw)) - self.shift))
+            strong = at[np.argsort(-values, kind="stable")[:SHOWN]]
+            out[i] = (raw, self.ids[ids[:SHOWN]].tolist(), [self.terms[t] for t in strong])
+        return out
 
 
 def fit(docs: DataFrame, labels: DataFrame, learn: Column, seed: int = 7) -> Index:
-    """The index: terms and document frequencies from all rows, examples a bounded sample of
-    the labelled rows, as many of each label, weighed by how many rows they stand for."""
+    """The index: examples a bounded sample of the labelled rows, as many of each label, weighed
+    by how many rows they stand for; all their terms, with document frequencies from all rows.
+    A term's inverse frequency is multiplied by the evidence it gives of a label."""
     rows = settled(labelled(docs, labels, learn))
-    chosen = choose_terms(rows)
-    terms = chosen["term"].tolist()
-    frequencies, total = document_frequencies(docs, terms)
-    idf = np.log((1 + total) / (1 + frequencies)) + 1
-    numbers = {t: i for i, t in enumerate(terms)}
     roll = F.xxhash64(F.lit(seed), "doc_id")
     first = Window.partitionBy("label").orderBy(roll, "doc_id")
-    picked = rows.select("doc_id", "label").distinct().withColumn("place", F.row_number().over(first))
-    picked = settled(picked.where(F.col("place") <= EXAMPLES).select("doc_id"))  # bounded
+    picked = rows.distinct().withColumn("place", F.row_number().over(first))
+    picked = settled(picked.where(F.col("place") <= EXAMPLES).select("doc_id", "label"))  # bounded
     sizes = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
+    # A document whose row repeats counts once, if its text is the same.
+    sample = docs.where(learn & F.col("text").isNotNull()).select("doc_id", "text")
+    sample = settled(sample.join(F.broadcast(picked), "doc_id").dropDuplicates(["doc_id", "text"]))
+    spark = docs.sparkSession
+    terms = all_terms(sample)
+    shared = spark.sparkContext.broadcast(joined(terms))
+    frequencies, total = document_frequencies(docs, terms)
+    idf = np.log((1 + total) / (1 + frequencies)) + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Known(numbers)
+        known = Known(numbered(shared.value))
         for batch in batches:
             for part in slices(batch, "text"):
-                found = [counts_of(t, known) for t in part.column("text").to_pylist()]
-                arrays = [part.column("doc_id"), part.column("label")]
-                arrays.append(pa.array([list(c) for c in found], pa.list_(pa.int32())))
-                arrays.append(pa.array([list(c.values()) for c in found], pa.list_(pa.int32())))
-                yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "label", "at", "n"])
+                found = [packed(*counts_of(t, known)) for t in part.column("text").to_pylist()]
+                arrays = [part.column("doc_id"), part.column("label"), pa.array(found, pa.binary())]
+                yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "label", "counts"])
 
-    # A document whose row repeats counts once, if its text is the same.
-    sample = rows.join(F.broadcast(picked), "doc_id").dropDuplicates(["doc_id", "text"])
-    schema = "doc_id long, label int, at array<int>, n array<int>"
+    schema = "doc_id long, label int, counts binary"
     sample = sample.select(F.col("doc_id").cast("long"), "label", "text").mapInArrow(run, schema)
-    sample = sample.toPandas().sort_values("doc_id")
-    held = sample["label"].value_counts()
-    examples = [
-        (int(i), int(y == 1), dict(zip(at, n)), sizes[y] / held[y])
-        for i, y, at, n in sample.itertuples(index=False)
-    ]
+    sample = sample.toArrow().sort_by("doc_id")
+    ids, marks, texts = (sample[c].to_pylist() for c in ("doc_id", "label", "counts"))
+    held = Counter(marks)
+    toxic = occurrences([t for t, y in zip(texts, marks) if y == 1], len(terms))
+    other = occurrences([t for t, y in zip(texts, marks) if y != 1], len(terms))
+    idf *= evidence(toxic, held[1], other, len(marks) - held[1])
+    examples = [(i, int(y == 1), t, sizes[y] / held[y]) for i, y, t in zip(ids, marks, texts)]
     index = Index(terms, idf, examples)
     index.calibrate()
     return index
@@ -322,28 +409,27 @@ def predict(
 ) -> DataFrame:
     """``keep`` with score, predicted, the nearest examples and the terms that weigh most.
 
-    The whole text is read. Texts without an index term, null and empty ones included, get the
-    share of toxic examples among those without one. Without any labelled row all scores are
-    0.5 at most. Examples equally near are taken in the order of the index. Repeated rows stay;
-    an empty table gives an empty result; columns other than ``keep`` are not read."""
-    shared = df.sparkSession.sparkContext.broadcast(index)  # bounded by terms and examples
+    The whole text is read. Texts without a word of any example, null and empty ones included,
+    get the share of toxic examples among those without a word. Without any labelled row all
+    scores are 0.5 at most. Examples equally near are taken in the order of the index. Repeated
+    rows stay; an empty table gives an empty result; columns other than ``keep`` are not read."""
+    shared = df.sparkSession.sparkContext.broadcast(index)  # bounded by the examples
 
     def start():
         own = shared.value
-        known = Known(own.numbers)
-        seen: dict[tuple, tuple] = {}
-
-        def one(text: str | None) -> tuple:
-            counts = counts_of(text, known)
-            key = tuple(sorted(counts.items()))
-            if key not in seen:
-                if len(seen) > 200_000:
-                    seen.clear()
-                seen[key] = own.score(counts)
-            return seen[key]
+        known = Known({t: i for i, t in enumerate(own.terms)})
+        seen: dict[bytes, tuple] = {}
 
         def work(texts: list) -> dict:
-            found = [one(t) for t in texts]
+            keys = [blake2b((t or "").encode("utf-8", "surrogatepass"), digest_size=16).digest() for t in texts]
+            if len(seen) > 200_000:
+                seen.clear()
+            fresh = list({k: t for k, t in zip(keys, texts) if k not in seen}.items())
+            for at in range(0, len(fresh), QUERIES):
+                part = fresh[at : at + QUERIES]
+                found = own.score([counts_of(t, known) for _, t in part])
+                seen.update(zip([k for k, _ in part], found))
+            found = [seen[k] for k in keys]
             return {
                 "score": [s for s, _, _ in found],
                 "predicted": [int(s >= 0.5) for s, _, _ in found],

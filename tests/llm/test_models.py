@@ -202,3 +202,37 @@ def test_index_finds_the_exact_neighbours():
         ids, sims = index.nearest(at, values)
         assert np.allclose(sims, best[: len(sims)]) and (best[len(sims) :] == 0).all()
         assert np.allclose(dense[index.ids[ids]] @ query, sims)
+
+
+def test_index_of_all_words(spark, make_docs):
+    """No word is left out: few toxic documents, and words that no label makes likelier, count."""
+    rng = random.Random(8)
+    words = SETS["xx"]
+    rows = [(i, " ".join(rng.choices(words, k=30)), None, None) for i in range(300)]
+    rows += [(1000 + i, rows[i][1], None, None) for i in range(20)] + [(2000, "...", None, None)]
+    labels = spark.createDataFrame([(i, 1, int(i < 4)) for i in range(300)], "doc_id long, quality int, toxic int")
+    index = toxicity.fit(make_docs(rows), labels, F.lit(True))
+    assert set(index.terms) == {t for _, text, _, _ in rows for w in toxicity.TOKEN.findall(text) for t in toxicity.terms_of(w)}
+    found = {r.doc_id: r for r in toxicity.predict(make_docs(rows), index).collect()}
+    assert all(found[1000 + i].neighbours[0] == i and len(found[i].terms) == 3 for i in range(20))
+    assert found[2000].neighbours == []
+
+
+def test_index_with_rare_and_common_terms_is_exact():
+    rng = np.random.default_rng(9)
+    n = 3000
+    chance = 1 / np.arange(1, n + 1)
+    idf, examples = rng.random(n) + 0.5, []
+    for i in range(1500):
+        at = np.unique(rng.choice(n, 40, p=chance / chance.sum()))
+        examples.append((i, i % 2, {int(t): int(rng.integers(1, 4)) for t in at}, 1.0))
+    index = toxicity.Index([f"t{i}" for i in range(n)], idf, examples)
+    assert len(index.rows) and (index.column >= 0).sum() == toxicity.COMMON
+    dense = np.zeros((1500, n))
+    for i, _, counts, _ in examples:
+        at, values = index.vector(counts)
+        dense[i, at] = values
+    queries = [index.vector(examples[i][2]) for i in range(0, 1500, 10)]
+    for (at, values), (ids, sims) in zip(queries, index.nearest_of(queries, [-1] * len(queries))):
+        want = dense[:, at] @ values
+        assert np.allclose(sims, np.sort(want)[::-1][:32]) and np.allclose(want[index.ids[ids]], sims)
