@@ -236,3 +236,15 @@ def test_index_with_rare_and_common_terms_is_exact():
     for (at, values), (ids, sims) in zip(queries, index.nearest_of(queries, [-1] * len(queries))):
         want = dense[:, at] @ values
         assert np.allclose(sims, np.sort(want)[::-1][:32]) and np.allclose(want[index.ids[ids]], sims)
+
+
+def test_lm_contexts_tell_two_words_and_four_bytes():
+    code = lm.huffman(np.ones(200))
+    coder = lm.Coder(np.arange(199), np.arange(1, 200), code)
+    hashes = lm.word_hash([b"one", b"same", b"next", b"two", b"same", b"next"])
+    seen = coder.contexts(np.array([100, 101, 102, 103, 101, 102]), hashes, np.array([0, 3, 6]))
+    assert (seen[:, 2] != seen[:, 5]).any()
+    number, slots, _, _ = lm.byte_bits([b"xabcd", b"yabcd", b"xbbcd"])
+    ends = [np.flatnonzero(number == i)[-8:] for i in range(3)]  # of the word's end
+    same = [[(s[ends[0]] == s[ends[i]]).all() for s in slots] for i in (1, 2)]
+    assert same == [[True, True, False], [True, False, False]]
