@@ -248,3 +248,19 @@ def test_lm_contexts_tell_two_words_and_four_bytes():
     ends = [np.flatnonzero(number == i)[-8:] for i in range(3)]  # of the word's end
     same = [[(s[ends[0]] == s[ends[i]]).all() for s in slots] for i in (1, 2)]
     assert same == [[True, True, False], [True, False, False]]
+
+
+def test_lm_counts_come_from_all_learning_texts(make_docs):
+    """Texts held back for the weights are in the tables in the end."""
+    rows = [(i, f"left{i} right{i} middle{i}", None, None) for i in range(200)]
+    blocks = lm.settled(lm.blocks_of(make_docs(rows), F.lit(True), "text", ("doc_id",)))
+    words = sorted({w.encode() for _, t, _, _ in rows for w in t.split()})
+    hashes = lm.word_hash(words)
+    model = lm.fit(blocks, hashes, np.ones(len(words), np.int64), len(rows), 0)
+    coder = lm.Coder(model.hashes, model.symbols, model.code)
+    for _, text, _, _ in rows:
+        own = lm.word_hash([w.encode() for w in text.split()])
+        symbols = coder.symbols_of(own)
+        contexts = coder.contexts(symbols, own, np.array([0, 3]))
+        word, node, _, _ = coder.expand(symbols)
+        assert (model.known[lm.slot(contexts[-1][word], node)] > 0).all()
