@@ -8,12 +8,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docmill.llm import html_text, language, lm, mixing, near_dups, neighbours, packing, quality, token_counts, toxicity
+from docmill.llm import conversations, html_text, language, lm, mixing, near_dups, neighbours, packing, quality, sql
+from docmill.llm import token_counts, toxicity
 from docmill.llm.shared import learn_fold, settled
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op12_conversation_repair": sql.REPAIR}
 
 
 def query(f: Query) -> Query:
@@ -99,3 +100,9 @@ def op4_lm_scores(spark: SparkSession, sf: str) -> DataFrame:
         "score",
         "bits_per_byte",
     )
+
+
+@query
+def op12_conversation_repair(spark: SparkSession, sf: str) -> DataFrame:
+    rows = table(spark, sf, "conversations")
+    return conversations.report(rows, conversations.damaged(rows))

@@ -27,6 +27,7 @@ COLUMNS = {
     "op8": "doc_id held_out score predicted",
     "op9": "doc_id n_shingles component_id kept",
     "op10": "page_id url text n_chars",
+    "op12": "conv_id gaps blank duplicate truncated illegal cost audit repaired_sha256",
 }
 PER_ROW = {"op1", "op3", "op4", "op5", "op7", "op8", "op9", "op10"}
 
