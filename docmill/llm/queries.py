@@ -8,13 +8,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docmill.llm import conversations, html_text, language, lm, mixing, near_dups, neighbours, packing, quality, sql
-from docmill.llm import token_counts, toxicity
+from docmill.llm import conversations, hard_negatives, html_text, language, lm, mixing, near_dups, neighbours, packing
+from docmill.llm import quality, sql, token_counts, toxicity
 from docmill.llm.shared import learn_fold, settled
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
-ORACLE: dict[str, str] = {"op12_conversation_repair": sql.REPAIR}
+ORACLE: dict[str, str] = {"op11_hard_negatives": sql.NEGATIVES, "op12_conversation_repair": sql.REPAIR}
 
 
 def query(f: Query) -> Query:
@@ -106,3 +106,10 @@ def op4_lm_scores(spark: SparkSession, sf: str) -> DataFrame:
 def op12_conversation_repair(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "conversations")
     return conversations.report(rows, conversations.damaged(rows))
+
+
+@query
+def op11_hard_negatives(spark: SparkSession, sf: str) -> DataFrame:
+    rows = table(spark, sf, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(rows.withColumn("label", moved), F.col("vec_id") % 50 == 0)
