@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docmill.llm import conversations, hard_negatives, html_text, language, lm, mixing, near_dups, neighbours, packing
-from docmill.llm import quality, sql, token_counts, toxicity
+from docmill.llm import passages, quality, sql, token_counts, toxicity
 from docmill.llm.shared import learn_fold, settled
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -113,3 +113,8 @@ def op11_hard_negatives(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "embeddings")
     moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     return hard_negatives.mine(rows.withColumn("label", moved), F.col("vec_id") % 50 == 0)
+
+
+@query
+def op13_repeated_passages(spark: SparkSession, sf: str) -> DataFrame:
+    return passages.repeated_passages(table(spark, sf, "documents"))

@@ -28,6 +28,7 @@ COLUMNS = {
     "op9": "doc_id n_shingles component_id kept",
     "op10": "page_id url text n_chars",
     "op11": "anchor_id positive_id rank negative_id positive_score negative_score",
+    "op13": "doc_id n_words n_removed kept_sha256",
     "op12": "conv_id gaps blank duplicate truncated illegal cost audit repaired_sha256",
 }
 PER_ROW = {"op1", "op3", "op4", "op5", "op7", "op8", "op9", "op10"}
