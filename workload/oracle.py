@@ -1062,6 +1062,26 @@ ORACLE["job_lookup"] = with_(
     " WHEN l.result IS NULL THEN 'processing' ELSE 'ready' END AS answer"
     " FROM (SELECT 'job-' || c_custkey AS job_id FROM customer) a LEFT JOIN l USING (job_id)",
 )
+ORACLE["status_as_of"] = with_(
+    ("moves", _MOVES),
+    (
+        "asked",
+        "SELECT event_id AS request_id, 'job-' || (user_id + event_id % 2) AS job_id,"
+        " to_timestamp(epoch_us(ts) // 1000000 + (event_id % 11) * 60)::TIMESTAMP AS asked_at"
+        " FROM events WHERE event_id % 3 = 0",
+    ),
+    (
+        "seen",
+        "SELECT request_id, a.job_id, asked_at, arg_max(filename, (ts, seq)) AS filename,"
+        " arg_max(status, (ts, seq)) AS status,"
+        " arg_max(result, (ts, seq)) FILTER (WHERE result IS NOT NULL) AS result,"
+        " min(ts) AS created_at, max(ts) AS updated_at"
+        " FROM asked a LEFT JOIN moves m ON a.job_id = m.job_id AND m.ts <= asked_at GROUP BY ALL",
+    ),
+    final="SELECT request_id, job_id, filename, status, result, CASE WHEN status IS NULL THEN 'unknown'"
+    " WHEN result IS NULL THEN 'processing' ELSE 'ready' END AS answer, epoch_us(asked_at) AS asked_at,"
+    " epoch_us(created_at) AS created_at, epoch_us(updated_at) AS updated_at FROM seen",
+)
 
 # Models: the stand-ins' behaviour by the length of the document's text.
 _LENGTHS = (

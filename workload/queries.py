@@ -845,6 +845,26 @@ def job_lookup(spark: SparkSession, sf: str) -> DataFrame:
     return ledger.lookup(asked, jobs).select("job_id", "status", "answer")
 
 
+def status_requests(spark: SparkSession, sf: str) -> DataFrame:
+    """For every third event a question after some minutes, about the job of a user close by."""
+    n, ts = F.col("event_id"), F.col("ts").cast("timestamp")
+    return table(spark, sf, "events").where(n % 3 == 0).select(
+        n.alias("request_id"),
+        F.concat(F.lit("job-"), (F.col("user_id") + n % 2).cast("string")).alias("job_id"),
+        F.timestamp_seconds(F.unix_seconds(ts) + (n % 11) * 60).alias("asked_at"),
+    )
+
+
+@query
+def status_as_of(spark: SparkSession, sf: str) -> DataFrame:
+    """Answers as of the time of asking, jobs midway through their transitions included."""
+    found = ledger.as_of(status_requests(spark, sf), job_transitions(spark, sf))
+    return found.select(
+        "request_id", "job_id", "filename", "status", "result", "answer",
+        *[F.unix_micros(c).alias(c) for c in ("asked_at", "created_at", "updated_at")],
+    )
+
+
 # --- Models ----------------------------------------------------------------
 
 
