@@ -1050,6 +1050,7 @@ _LATEST = (
     " epoch_us(min(ts)) AS created_at, epoch_us(max(ts)) AS updated_at FROM moves GROUP BY job_id"
 )
 ORACLE["job_latest"] = with_(("moves", _MOVES), final=_LATEST)
+ORACLE["ledger_snapshot"] = ORACLE["job_latest"]
 ORACLE["job_status_counts"] = with_(
     ("moves", _MOVES),
     ("l", _LATEST),

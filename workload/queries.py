@@ -41,6 +41,8 @@ from docmill.schemas import FIELDS, build_fields
 from docmill.settings import DEFAULT_RULES, SPARK_CONF, Settings
 from docmill.sources import documents as files
 from docmill.sources import golden, results
+from docmill.sources.commits import Commits, read_committed
+from docmill.streaming import jobs
 from docmill.streaming.ingest import start_ingest
 from docmill.streaming.quota import start_quota
 from docmill.streaming.storage import fresh_folder
@@ -984,9 +986,9 @@ def ingested(spark: SparkSession, sf: str) -> str:
 def stream_ingest(spark: SparkSession, sf: str) -> DataFrame:
     """Invoices arriving as a stream of files, read back from the result table."""
     folder = ingested(spark, sf)
-    moves = spark.read.parquet(f"{folder}/transitions").where("status IN ('completed', 'failed')")
-    done = spark.read.parquet(f"{folder}/results").join(moves.select("job_id", "filename"), "job_id")
-    turned_away = spark.read.parquet(f"{folder}/quarantine")
+    names = jobs.jobs(spark, folder).select("job_id", "filename")
+    done = read_committed(spark, folder, "results").join(names, "job_id")
+    turned_away = read_committed(spark, folder, "quarantine")
     return done.select("job_id", "filename", "status", "route").unionByName(
         turned_away.select(
             "job_id", F.col("path").alias("filename"), F.lit("quarantined").alias("status"),
@@ -999,15 +1001,28 @@ def stream_ingest(spark: SparkSession, sf: str) -> DataFrame:
 def stream_status(spark: SparkSession, sf: str) -> DataFrame:
     """Status answers for all orders, from the ledger that the stream wrote."""
     folder = ingested(spark, sf)
-    jobs = ledger.latest(spark.read.parquet(f"{folder}/transitions"))
     asked = table(spark, sf, "orders").select(
         F.concat(F.lit("inv-"), F.col("o_orderkey").cast("string")).alias("job_id")
     )
-    return ledger.lookup(asked, jobs).select(
+    return ledger.lookup(asked, jobs.jobs(spark, folder)).select(
         "job_id", "status", "answer", "document_type", "route", "error"
     )
 
 
+@query
+def ledger_snapshot(spark: SparkSession, sf: str) -> DataFrame:
+    """The last state of each job, from a snapshot that four batches of transitions moved on."""
+    folder, moves = work_folder(spark, "jobs"), job_transitions(spark, sf)
+    for version in range(4):
+        batch = moves.where(F.floor(F.col("seq") / 97) % 4 == version)
+        Commits(spark, folder).write(version, jobs.advance(spark, folder, batch, version, buckets=16))
+        jobs.expire(spark, folder, keep=1)
+    return jobs.jobs(spark, folder).select(
+        "job_id", "filename", "status", "result",
+        *[F.unix_micros(c).alias(c) for c in ("created_at", "updated_at")],
+    )
+
+
 @query
 def intake_answers(spark: SparkSession, sf: str) -> DataFrame:
     """Events as uploads: quota, gate and first transition in one plan."""
@@ -1022,8 +1037,8 @@ def intake_answers(spark: SparkSession, sf: str) -> DataFrame:
         F.when(n % 3 == 0, F.lit("application/zip")).otherwise(F.lit("application/pdf")).alias("mime_type"),
     )
     answered = intake(uploads, QUOTA)
-    jobs = queued_jobs(answered, "path").select("filename", F.col("status").alias("job_status"))
-    return answered.join(jobs, answered["path"] == jobs["filename"], "left").select(
+    queued = queued_jobs(answered, "path").select("filename", F.col("status").alias("job_status"))
+    return answered.join(queued, answered["path"] == queued["filename"], "left").select(
         "event_id",
         "answer",
         "message",
