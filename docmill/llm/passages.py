@@ -3,15 +3,16 @@
 A passage repeats if some window of it does. Each window is known by its phrase, the eight words
 of least hash in it, so equal windows have equal phrases at equal places. Phrases seen twice are
 followed up: each stretch of windows around one is counted, stretches that differ are compared
-window by window, and windows seen twice are confirmed. Texts are then dealt into batches; each
-batch gets the confirmed stretches that its texts may hold, compiles Aho-Corasick automata of
-their phrases and streams its texts through them. Words are compared as they are there, hashes
-only choose what is compared.
+window by window, and windows seen twice are confirmed. Each text then gets the confirmed
+stretches that it may hold, in the words of the one text that stands for all that have them; a
+few texts at a time compile Aho-Corasick automata of these phrases and are streamed through
+them. Words are compared as they are there, hashes only choose what is compared.
 """
 
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Callable, Iterator
 from itertools import chain
 
@@ -25,12 +26,14 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from docmill.llm.near_dups import WordHashes
-from docmill.llm.shared import per_text, settled, slices
+from docmill.llm.shared import per_text, settled, shared_folder, slices
 
 #: Consecutive words of a window, and of the phrase that it is known by.
 WINDOW, PHRASE = 35, 8
-#: Bytes of text in a batch; a longer text makes a larger one.
+#: Bytes of text that share automata; a longer text is alone.
 BATCH_BYTES = 4 << 20
+#: Different stretches of one phrase that meet in one row; beyond, their windows are dealt out.
+STRETCHES = 500
 #: Distinct words of one automaton, each of which is one character of its alphabet.
 ALPHABET = 1_000_000
 
@@ -60,29 +63,42 @@ def grams(h: np.ndarray, size: int) -> np.ndarray:
     return out[:count]
 
 
-def phrases(h: np.ndarray, window: int, phrase: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of the phrases of a text, and for each stretch of windows with one phrase: the
-    phrase's place, the first window, the number of windows. The leftmost of equal phrases counts."""
-    g = grams(h, phrase)
-    wide = window - phrase + 1
-    none = np.zeros(0, np.int64)
-    if len(h) < window:
-        return g, none, none, none
+def least_places(g: np.ndarray, wide: int) -> np.ndarray:
+    """For each run of ``wide`` numbers the place of its least one, the leftmost of equal ones."""
     value, place, width = g, np.arange(len(g)), 1
-
-    def least(step: int) -> None:
-        nonlocal value, place
+    while width < wide:
+        step = min(width, wide - width)
         right = value[step:] < value[:-step]
         place = np.where(right, place[step:], place[:-step])
         value = np.where(right, value[step:], value[:-step])
+        width += step
+    return place
+
 
-    while 2 * width <= wide:
-        least(width)
-        width *= 2
-    if wide > width:
-        least(wide - width)
-    starts = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
-    return g, place[starts], starts, np.diff(np.append(starts, len(place)))
+def phrases(
+    h: np.ndarray, window: int, phrase: int, ends: np.ndarray | None = None
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the phrases of texts that lie one after another, and for each stretch of windows
+    with one phrase: the phrase's place, the first window, the number of windows. No window
+    reaches beyond the end of a text."""
+    g = grams(h, phrase)
+    none = np.zeros(0, np.int64)
+    if len(h) < window:
+        return g, none, none, none
+    place = least_places(g, window - phrase + 1)
+    new = np.concatenate([[True], place[1:] != place[:-1]])
+    if ends is not None:
+        inside = np.ones(len(place) + window, bool)
+        for back in range(1, window):
+            inside[ends[ends >= back] - back] = False
+        new[ends[ends < len(place)]] = True
+        inside = inside[: len(place)]
+        new[1:] |= inside[1:] != inside[:-1]
+    starts = np.flatnonzero(new)
+    size = np.diff(np.append(starts, len(place)))
+    if ends is not None:
+        starts, size = starts[inside[starts]], size[inside[starts]]
+    return g, place[starts], starts, size
 
 
 def hashed(words: list[bytes], known: WordHashes) -> np.ndarray:
@@ -97,16 +113,21 @@ def scan(window: int, phrase: int) -> Callable[[], Callable[[list], dict]]:
         known = WordHashes()
 
         def work(texts: list) -> dict:
-            out: dict[str, list] = {"n_words": [], "whole": [], "phrases": [], "times": []}
-            for text in texts:
-                words = words_of(text)
-                g, at, _, _ = phrases(hashed(words, known), window, phrase)
-                found, times = np.unique(g[at], return_counts=True)
-                out["n_words"].append(len(words))
-                out["whole"].append(hashlib.sha256(b" ".join(words)).hexdigest())
-                out["phrases"].append(found.view(np.int64))
-                out["times"].append(np.minimum(times, 2).astype(np.int8))
-            return out
+            split = [words_of(t) for t in texts]
+            ends = np.cumsum([len(w) for w in split])
+            g, place, first, _ = phrases(hashed(list(chain.from_iterable(split)), known), window, phrase, ends)
+            owner, key = np.searchsorted(ends, first, "right"), g[place]
+            order = np.lexsort((key, owner))
+            owner, key = owner[order], key[order]
+            new = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (owner[1:] != owner[:-1])])[: len(key)])
+            times = np.minimum(np.diff(np.append(new, len(key))), 2).astype(np.int8)
+            offsets = np.searchsorted(owner[new], np.arange(len(texts) + 1)).astype(np.int32)
+            return {
+                "n_words": [len(w) for w in split],
+                "whole": [hashlib.sha256(b" ".join(w)).hexdigest() for w in split],
+                "phrases": pa.ListArray.from_arrays(offsets, pa.array(key[new].view(np.int64))),
+                "times": pa.ListArray.from_arrays(offsets, pa.array(times)),
+            }
 
         return work
 
@@ -146,15 +167,15 @@ def stretches(window: int, phrase: int) -> Callable[[dict, WordHashes], Iterator
 
 
 def worded(window: int) -> Callable[[dict, WordHashes], Iterator[tuple]]:
-    """The words of chosen stretches, and a hash for each window in them."""
+    """Chosen stretches with a hash for each window, and their words if other texts have them."""
 
     def work(row: dict, known: WordHashes) -> Iterator[tuple]:
         words = words_of(row["text"])
         all_windows = grams(hashed(words, known), window).view(np.int64)
         for s in row["chosen"]:
             a, n = s["first"], s["size"]
-            text = b" ".join(words[a : a + n + window - 1]).decode()
-            yield s["phrase"], s["around"], s["times"], s["at"], text, all_windows[a : a + n]
+            text = b" ".join(words[a : a + n + window - 1]).decode() if s["shared"] else None
+            yield s["phrase"], s["around"], s["times"], row["digest"], text, all_windows[a : a + n]
 
     return work
 
@@ -210,38 +231,65 @@ def covered(starts: list[int], window: int) -> list[dict]:
 SPANS = "array<struct<start: bigint, length: bigint>>"
 
 
-def located(window: int, phrase: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
-    """Spans of each text of a batch, by automata of the batch's stretches."""
-
-    def run(texts: pa.Table, passages: pa.Table) -> pa.Table:
-        automata = [Automaton(window, phrase)]
-        for part in passages.to_batches(4096):
-            for row in part.to_pylist():
-                if automata[-1].full():
-                    automata.append(Automaton(window, phrase))
-                automata[-1].add(row["words"].encode().split(), row["at"], row["starts"])
-        automata = [a for a in automata if a.windows]
-        for a in automata:
-            a.trie.make_automaton()
-        out: dict[str, list] = {"digest": [], "spans": [], "n_removed": [], "kept_sha256": []}
-        for part in chain.from_iterable(slices(b, "text", 1 << 20) for b in texts.to_batches(64)):
-            for digest, text in zip(part.column("digest").to_pylist(), part.column("text").to_pylist()):
-                words = words_of(text)
+def twice_in(rows: Iterator[dict]) -> Iterator[tuple]:
+    """Windows of the stretches of one phrase that occur twice at least."""
+    for row in rows:
+        seen: dict[int, int] = {}
+        for s in row["kinds"]:
+            for w in s["windows"]:
+                seen[w] = seen.get(w, 0) + s["times"]
+        for s in row["kinds"]:
+            starts = [i for i, w in enumerate(s["windows"]) if seen[w] > 1]
+            if starts:
+                yield row["phrase"], s["around"], starts
+
+
+def located(window: int, phrase: int, limit: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Spans of texts, by automata of the stretches that a bounded number of them may hold."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in chain.from_iterable(slices(b, "text", limit) for b in batches):
+            split = [words_of(t) for t in part.column("text").to_pylist()]
+            automata = [Automaton(window, phrase)]
+            done: set[tuple[int, int]] = set()
+            for words, stretches_ in zip(split, part.column("passages").to_pylist()):
+                for s in stretches_:
+                    if (s["phrase"], s["around"]) in done:
+                        continue
+                    done.add((s["phrase"], s["around"]))
+                    if automata[-1].full():
+                        automata.append(Automaton(window, phrase))
+                    line = words[s["first"] : s["first"] + s["size"] + window - 1]
+                    automata[-1].add(line if s["words"] is None else s["words"].encode().split(), s["at"], s["starts"])
+            for a in automata:
+                a.trie.make_automaton()
+            out: dict[str, list] = {"spans": [], "n_removed": [], "kept_sha256": []}
+            for words in split:
                 spans = covered(list(chain.from_iterable(a.find(words) for a in automata)), window)
                 ends = [0, *(s["start"] + s["length"] for s in spans)]
                 starts = [*(s["start"] for s in spans), len(words)]
                 kept = chain.from_iterable(words[a:b] for a, b in zip(ends, starts))
-                out["digest"].append(digest)
                 out["spans"].append(spans)
                 out["n_removed"].append(sum(s["length"] for s in spans))
                 out["kept_sha256"].append(hashlib.sha256(b" ".join(kept)).hexdigest())
-        span = pa.struct([("start", pa.int64()), ("length", pa.int64())])
-        kinds = {"digest": pa.binary(), "spans": pa.list_(span), "n_removed": pa.int64(), "kept_sha256": pa.string()}
-        return pa.table({k: pa.array(out[k], t) for k, t in kinds.items()})
+            span = pa.struct([("start", pa.int64()), ("length", pa.int64())])
+            kinds = {"spans": pa.list_(span), "n_removed": pa.int64(), "kept_sha256": pa.string()}
+            columns = [pa.array(out[k], t) for k, t in kinds.items()]
+            yield pa.RecordBatch.from_arrays([part.column("digest"), *columns], names=["digest", *kinds])
 
     return run
 
 
+def as_buckets(df: DataFrame, key: str) -> DataFrame:
+    """The rows as a table in buckets of a key in the shared folder, so that joins on it move the
+    other side only."""
+    spark, name = df.sparkSession, f"docmill_llm_{uuid.uuid4().hex}"
+    number = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    writer = df.write.bucketBy(number, key).sortBy(key).option("path", f"{shared_folder(spark)}/{name}")
+    writer.saveAsTable(name)
+    return spark.table(name)
+
+
 def repeated_passages(
     df: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, phrase: int = PHRASE
 ) -> DataFrame:
@@ -257,40 +305,39 @@ def repeated_passages(
     digest = F.unhex(F.md5(F.col(f"`{text}`").cast("binary"))).alias("digest")
     docs = df.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").alias("text"), digest)
     fields = T._parse_datatype_string("n_words bigint, whole string, phrases array<bigint>, times array<tinyint>")
-    seen = settled(per_text(docs, "text", ["id", "digest"], fields, scan(window, phrase)))
+    seen = per_text(docs, "text", ["id", "digest"], fields, scan(window, phrase))
+    seen = settled(seen.withColumn("row", F.monotonically_increasing_id()))
 
     pairs = F.explode(F.arrays_zip("phrases", "times")).alias("x")
     often = seen.select(pairs).groupBy(F.col("x.phrases").alias("phrase")).agg(F.sum("x.times").alias("n"))
     often = often.where("n > 1").select("phrase")
-    mine = seen.where("digest is not null").groupBy("digest").agg(F.first("phrases").alias("phrases"))
-    mine = mine.select("digest", F.explode("phrases").alias("phrase")).join(often, "phrase", "left_semi")
-    lists = mine.groupBy("digest").agg(F.collect_list("phrase").alias("repeated"))
+    mine = seen.select("row", F.explode("phrases").alias("phrase")).join(often, "phrase", "left_semi")
+    mine = mine.join(seen.where("digest is not null").select("row", "digest"), "row")
+    lists = mine.groupBy("digest").agg(F.collect_set("phrase").alias("repeated"))
     texts = docs.where("digest is not null").groupBy("digest")
     texts = texts.agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("copies"))
-    texts = settled(texts.join(lists, "digest"))
+    texts = as_buckets(texts.join(lists, "digest"), "digest")
 
-    size = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    batch = F.pmod(F.xxhash64("digest"), F.lit(max(1, -(-size // BATCH_BYTES)))).cast("int").alias("batch")
     fields = "phrase bigint, around bigint, times bigint, digest binary, first bigint, size bigint, at bigint"
-    parts = settled(by_text(texts, fields, stretches(window, phrase)).select("*", batch))
-
-    chosen = F.min(F.struct("digest", "first", "size", "at")).alias("one")
-    kinds = parts.groupBy("phrase", "around").agg(F.sum("times").alias("times"), chosen)
-    kinds = kinds.select("phrase", "around", "times", "one.*")
-    chosen = F.collect_list(F.struct("phrase", "around", "times", "first", "size", "at")).alias("chosen")
-    kinds = texts.select("digest", "text").join(kinds.groupBy("digest").agg(chosen), "digest")
-    fields = "phrase bigint, around bigint, times bigint, at bigint, words string, windows array<bigint>"
+    parts = settled(by_text(texts, fields, stretches(window, phrase)))
+    one = F.min(F.struct("digest", "first", "size")).alias("one")
+    shared = (F.min("digest") != F.max("digest")).alias("shared")
+    kinds = parts.groupBy("phrase", "around").agg(F.sum("times").alias("times"), one, shared)
+    chosen = F.collect_list(F.struct("phrase", "around", "times", "one.first", "one.size", "shared")).alias("chosen")
+    kinds = texts.select("digest", "text").join(kinds.groupBy("one.digest").agg(chosen), "digest")
+    fields = "phrase bigint, around bigint, times bigint, digest binary, words string, windows array<bigint>"
     kinds = settled(by_text(kinds, fields, worded(window)))
 
-    windows = kinds.select("phrase", "around", "times", F.posexplode("windows").alias("start", "window"))
-    twice = windows.groupBy("phrase", "window").agg(F.sum("times").alias("n")).where("n > 1").drop("n")
-    starts = windows.join(twice, ["phrase", "window"]).groupBy("phrase", "around").agg(F.collect_list("start").alias("starts"))
-    passages = kinds.select("phrase", "around", "at", "words").join(starts, ["phrase", "around"])
-    passages = parts.select("phrase", "around", "batch").distinct().join(passages, ["phrase", "around"])
-    passages = passages.select("batch", "words", "at", "starts")
-
-    dealt = texts.select(batch, "digest", "text").groupBy("batch").cogroup(passages.groupBy("batch"))
-    found = dealt.applyInArrow(located(window, phrase), f"digest binary, spans {SPANS}, n_removed bigint, kept_sha256 string")
+    starts = confirmed(kinds)
+    found = kinds.select("phrase", "around", F.col("digest").alias("from"), "words").join(starts, ["phrase", "around"])
+    found = parts.join(found, ["phrase", "around"])
+    words = F.when(F.col("digest") != F.col("from"), F.col("words")).alias("words")
+    found = found.groupBy("digest").agg(
+        F.collect_list(F.struct("phrase", "around", "first", "size", "at", words, "starts")).alias("passages")
+    )
+    found = texts.select("digest", "text").join(found, "digest")
+    fields = f"digest binary, spans {SPANS}, n_removed bigint, kept_sha256 string"
+    found = found.mapInArrow(located(window, phrase, BATCH_BYTES), fields)
     out = seen.select("id", "digest", "n_words", "whole").join(found, "digest", "left")
     return out.select(
         F.col("id").alias(doc_id),
@@ -299,3 +346,28 @@ def repeated_passages(
         F.coalesce("kept_sha256", "whole").alias("kept_sha256"),
         F.coalesce("spans", F.array().cast(SPANS)).alias("spans"),
     )
+
+
+def confirmed(kinds: DataFrame) -> DataFrame:
+    """``phrase, around, starts``: the windows of each stretch that occur twice at least. Phrases
+    of few different stretches are counted as one row each; those of many, whatever their number,
+    window by window."""
+    slim = kinds.select("phrase", "around", "times", "windows")
+    many = slim.groupBy("phrase").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > STRETCHES).select("phrase")
+    few = slim.join(many, "phrase", "left_anti").groupBy("phrase")
+    few = few.agg(F.collect_list(F.struct("around", "times", "windows")).alias("kinds"))
+    schema = "phrase bigint, around bigint, starts array<int>"
+    arrow = to_arrow_schema(T._parse_datatype_string(schema))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                rows = list(twice_in(batch.slice(at, 1024).to_pylist()))
+                columns = list(zip(*rows)) or [[], [], []]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, arrow.types)], schema=arrow)
+
+    windows = slim.join(many, "phrase", "left_semi")
+    windows = windows.select("phrase", "around", "times", F.posexplode("windows").alias("start", "window"))
+    twice = windows.groupBy("phrase", "window").agg(F.sum("times").alias("n")).where("n > 1").drop("n")
+    starts = windows.join(twice, ["phrase", "window"]).groupBy("phrase", "around")
+    return few.mapInArrow(run, schema).unionByName(starts.agg(F.collect_list("start").alias("starts")))

@@ -47,9 +47,11 @@ def texts():
     return out + ODD + ODD
 
 
-def test_like_all_windows(spark, make_docs, texts, monkeypatch):
+@pytest.mark.parametrize("few", [500, 2])
+def test_like_all_windows(spark, make_docs, texts, monkeypatch, few):
     monkeypatch.setattr(P, "BATCH_BYTES", 60_000)
     monkeypatch.setattr(P, "ALPHABET", 150)
+    monkeypatch.setattr(P, "STRETCHES", few)
     rows = [(i if i % 50 else None, t, "en", "s") for i, t in enumerate(texts)]
     got = P.repeated_passages(make_docs(rows).repartition(5)).collect()
     want = Counter((r[0], *p) for r, p in zip(rows, plain(texts)))
@@ -83,3 +85,17 @@ def test_equal_windows_have_equal_phrases():
             inside = g[s : s + window - phrase + 1]
             assert at[s] == s + inside.argmin() and (first <= s).sum() == np.searchsorted(np.cumsum(size), s, "right") + 1
         assert len(np.unique(all_windows)) == len({tuple(h[i : i + window]) for i in range(len(all_windows))})
+
+
+def test_texts_side_by_side_are_texts_alone():
+    rng = np.random.default_rng(6)
+    texts = [rng.integers(0, 9, n).astype(np.uint64) for n in (0, 40, 3, 35, 34, 0, 200, 36, 0)]
+    ends = np.cumsum([len(t) for t in texts])
+    g, place, first, size = P.phrases(np.concatenate(texts), 35, 8, ends)
+    got = [(int(p), int(f), int(n)) for p, f, n in zip(place, first, size)]
+    want = []
+    for t, end in zip(texts, ends):
+        at = end - len(t)
+        _, p, f, n = P.phrases(t, 35, 8)
+        want += [(int(a + at), int(b + at), int(c)) for a, b, c in zip(p, f, n)]
+    assert got == want
