@@ -178,21 +178,25 @@ def is_whitelisted(vendor: Column, rules: Rules) -> Column:
     )
 
 
-def whitelist_issue(fields: Column, rules: Rules) -> Column:
+def whitelist_issue(fields: Column, rules: Rules, listed: Column | None = None) -> Column:
+    """A vendor that neither the rules nor, as ``listed`` says, a table has."""
     vendor = fields["vendor_name"]
     message = F.concat(F.lit("Vendor '"), vendor, F.lit("' is not in the whitelist."))
+    known = is_whitelisted(vendor, rules)
     return F.when(
-        filled(vendor) & ~is_whitelisted(vendor, rules),
+        filled(vendor) & ~(known if listed is None else known | listed),
         issue("vendor_name", message, "warning"),
     )
 
 
-def invoice_issues(fields: Column, candidates: Column, rules: Rules) -> list[Column]:
+def invoice_issues(
+    fields: Column, candidates: Column, rules: Rules, listed: Column | None = None
+) -> list[Column]:
     return [
         total_issue(fields, candidates, rules.total_tolerance),
         date_order_issue(fields),
         tax_id_issue(fields, rules),
-        whitelist_issue(fields, rules),
+        whitelist_issue(fields, rules, listed),
     ]
 
 
@@ -259,8 +263,10 @@ def validate(
     document_type: str = "document_type",
     fields: str = "fields",
     out: str = "validation_issues",
+    listed: Column | None = None,
 ) -> DataFrame:
-    """Add all issues: required fields, then dates, then checks of the type."""
+    """Add all issues: required fields, then dates, then checks of the type. ``listed`` says
+    whether a whitelist table has the vendor (see ``names_on_list``)."""
     kept = [c for c in df.columns if c != out]
     record, kind = F.col(fields), F.col(document_type)
     is_invoice = kind == "invoice"
@@ -268,7 +274,7 @@ def validate(
         {"_candidates": F.when(is_invoice, total_candidates(record)), **parsed_dates(record)}
     )
     per_type = {
-        "invoice": invoice_issues(record, F.col("_candidates"), rules),
+        "invoice": invoice_issues(record, F.col("_candidates"), rules, listed),
         "contract": contract_issues(record),
         "id_document": id_issues(record, rules, as_of),
     }
@@ -288,32 +294,48 @@ def validate(
     return settle(df, kept, {out: issues})
 
 
-def vendors_off_list(vendors: DataFrame, whitelist: DataFrame, vendor: str, entry: str) -> DataFrame:
-    """Vendors whose name contains no entry of a whitelist table, case ignored.
+#: Characters of the piece by which a list's entry is looked up in names.
+GRAM = 5
+
+
+def _pieces(text: Column, size: int | Column) -> Column:
+    """The substrings of one length."""
+    length = F.length(text)
+    starts = F.when(length >= size, F.sequence(F.lit(1), length - size + 1))
+    starts = F.coalesce(starts, F.array().cast("array<int>"))
+    return F.transform(starts, lambda start: F.substring(text, start, F.lit(size) if isinstance(size, int) else size))
+
+
+def names_on_list(names: DataFrame, whitelist: DataFrame, name: str, entry: str) -> DataFrame:
+    """The distinct lower-case names, as ``_name``, that contain an entry of a whitelist table.
 
-    A name contains an entry if one of its substrings of the entry's length equals
-    it, so the tables are joined by equality whatever their sizes. The lengths that
-    occur are one array, at most as long as the longest entry. An empty entry is
-    contained in every name.
+    Each entry is looked up by one piece of it: of its substrings of ``GRAM`` characters the one
+    that the fewest entries have, so that no piece that is common among them brings many entries
+    together. Names are joined by equality on their pieces of that length, and whole entries are
+    compared only behind an equal piece. Entries shorter than a piece are looked up whole, in
+    pieces of the lengths that occur. An empty entry is contained in every name.
     """
     listed = whitelist.select(F.lower(entry).alias("_entry")).dropna().distinct()
-    lengths = listed.agg(F.collect_set(F.length("_entry")).alias("_lengths")).scalar()
-    name = F.col("_name")
-
-    def substrings(size: Column) -> Column:
-        starts = F.when(F.length(name) >= size, F.sequence(F.lit(1), F.length(name) - size + 1))
-        return F.transform(
-            F.coalesce(starts, F.array().cast("array<int>")),
-            lambda start: F.substring(name, start, size),
-        )
-
-    names = vendors.select(F.lower(vendor).alias("_name")).dropna().distinct()
-    names = names.withColumn("_lengths", lengths)
-    pieces = F.array_distinct(F.flatten(F.transform("_lengths", substrings)))
-    hits = (
-        names.select("_name", F.explode(pieces).alias("_entry"))
-        .join(listed, "_entry", "left_semi")
-        .select("_name")
-        .distinct()
+    size = F.length("_entry")
+    grams = listed.where(size >= GRAM).select("_entry", F.explode(F.array_distinct(_pieces(F.col("_entry"), GRAM))).alias("_piece"))
+    rarity = grams.groupBy("_piece").agg(F.count("*").alias("_n"))
+    rarest = F.min_by("_piece", F.struct("_n", "_piece")).alias("_piece")
+    keyed = grams.join(rarity, "_piece").groupBy("_entry").agg(rarest)
+    short = listed.where(size < GRAM)
+    keyed = keyed.unionByName(short.select("_entry", F.col("_entry").alias("_piece")))
+    # At most as many numbers as a piece has characters.
+    lengths = short.agg(F.collect_set(F.length("_entry")).alias("_lengths")).scalar()
+    own = names.select(F.lower(name).alias("_name")).dropna().distinct().withColumn("_lengths", lengths)
+    short_pieces = F.flatten(
+        F.transform("_lengths", lambda n: F.when(n == 0, F.array(F.lit(""))).otherwise(_pieces(F.col("_name"), n)))
     )
+    pieces = F.array_distinct(F.concat(_pieces(F.col("_name"), GRAM), short_pieces))
+    hits = own.select("_name", F.explode(pieces).alias("_piece")).join(keyed, "_piece")
+    return hits.where(F.contains("_name", F.col("_entry"))).select("_name").distinct()
+
+
+def vendors_off_list(vendors: DataFrame, whitelist: DataFrame, vendor: str, entry: str) -> DataFrame:
+    """Vendors whose name contains no entry of a whitelist table, case ignored. The tables are
+    joined by equality whatever their sizes."""
+    hits = names_on_list(vendors, whitelist, vendor, entry)
     return vendors.join(hits, F.lower(vendor) == F.col("_name"), "left_anti")

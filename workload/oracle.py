@@ -913,6 +913,20 @@ ORACLE["result_roundtrip"] = with_(
     " CASE WHEN error IS NULL THEN len(issues) ELSE 0 END AS n_issues FROM r",
 )
 
+# Vendors of a table besides those of the rules.
+_LISTED = " OR ".join(f"contains(lower(vendor_name), '{v}')" for v in VENDORS)
+ORACLE["whitelist_results"] = with_(
+    *INVOICE_ALL,
+    ("d", RESULT_SQL),
+    final="SELECT job_id, d.status, d.route, d.route_reason, CAST(d.n_issues > 0 AND len(list_filter(r.issues,"
+    " lambda x: contains(x, 'is not in the whitelist.'))) > 0 AS INTEGER) AS off_list, n_issues, n_findings"
+    " FROM d JOIN r USING (job_id)",
+).replace(
+    _LISTED,
+    _LISTED + " OR EXISTS (SELECT 1 FROM supplier WHERE s_suppkey % 3 = 0"
+    " AND contains(lower(vendor_name), lower(s_name)))",
+)
+
 # Evaluation.
 EVAL_CTES = [
     *GOLDEN_CTES,

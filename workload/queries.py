@@ -628,6 +628,19 @@ def vendor_antijoin(spark: SparkSession, sf: str) -> DataFrame:
     return validate.vendors_off_list(suppliers, listed, "s_name", "entry")
 
 
+@query
+def whitelist_results(spark: SparkSession, sf: str) -> DataFrame:
+    """Results of invoices under the rules' vendors and a table of further ones."""
+    listed = table(spark, sf, "supplier").where(F.col("s_suppkey") % 3 == 0).select(F.col("s_name").alias("entry"))
+    invoices = kind_docs(spark, sf, "invoice")
+    df = process_documents(invoices, DEFAULT_RULES, SETTINGS, AS_OF, PROCESSED, whitelist=listed)
+    off = F.exists("validation_issues", lambda i: F.contains(i["message"], F.lit("is not in the whitelist.")))
+    return df.select(
+        "job_id", "status", "route", "route_reason", off.cast("int").alias("off_list"),
+        big(F.size("validation_issues")).alias("n_issues"), big(F.size("security_findings")).alias("n_findings"),
+    )
+
+
 @query
 def contract_checks(spark: SparkSession, sf: str) -> DataFrame:
     items = validate.contract_issues(F.col("fields"))
