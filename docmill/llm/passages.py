@@ -32,8 +32,9 @@ from docmill.llm.shared import per_text, settled, shared_folder, slices
 WINDOW, PHRASE = 35, 8
 #: Bytes of text that share automata; a longer text is alone.
 BATCH_BYTES = 4 << 20
-#: Different stretches of one phrase that meet in one row; beyond, their windows are dealt out.
-STRETCHES = 500
+#: Different stretches of one phrase that meet in one row, which has about a megabyte then;
+#: beyond, their windows are dealt out.
+STRETCHES = 4096
 #: Distinct words of one automaton, each of which is one character of its alphabet.
 ALPHABET = 1_000_000
 
