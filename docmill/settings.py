@@ -21,6 +21,8 @@ log = logging.getLogger(__name__)
 SPARK_CONF = {
     "spark.sql.codegen.hugeMethodLimit": "8000",
     "spark.sql.variant.allowDuplicateKeys": "true",
+    # Documents go to Python workers in batches of so many bytes.
+    "spark.sql.execution.arrow.maxBytesPerBatch": "16m",
 }
 
 

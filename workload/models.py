@@ -42,3 +42,19 @@ class Stub:
             "confidence": 0.5 if number % 4 == 0 else 0.9,
         }
         return "Here you are: " + json.dumps(fields)
+
+
+class Fragile(Stub):
+    """Besides its answers: some nest without end, some end the program, some are no text."""
+
+    def generate(self, task: str, document: dict) -> str:
+        number = len(self.text(document))
+        if number % 7 == 0 and task == "classify":
+            return '{"document_type": "resume", "a": ' + "[" * 200_000
+        if number % 5 == 1:
+            raise SystemExit("gone")
+        if number % 5 == 2 and task == "extract":
+            return b"{}"
+        if number % 7 == 1 and task == "extract":
+            return '{"vendor_name": ' + '{"a": ' * 1500 + "1" + "}" * 1500 + "}"
+        return super().generate(task, document)

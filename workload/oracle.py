@@ -1110,6 +1110,16 @@ ORACLE["infer_stub"] = (
     " cast(CASE WHEN n % 4 = 0 THEN 2 ELSE 1 END AS BIGINT) AS attempts FROM "
     + _LENGTHS
 )
+_GONE = "request failed on spare: gone"
+ORACLE["model_faults"] = (
+    "SELECT 'doc-' || doc_id AS job_id, CASE WHEN n % 7 = 0 OR n % 5 = 1 THEN 'unknown' ELSE 'invoice' END"
+    f" AS document_type, CASE WHEN n % 7 <> 0 AND n % 5 = 1 THEN '{_GONE}' END AS classify_error,"
+    f" CASE WHEN n % 5 = 1 THEN '{_GONE}' WHEN n % 5 = 2 THEN"
+    " 'request failed on spare: the answer is bytes, not text' WHEN n % 7 = 1 THEN 'spare;spare'"
+    " WHEN n % 4 = 0 THEN 'spare;spare' ELSE 'spare' END AS attempts,"
+    " CASE WHEN n % 5 IN (1, 2) OR n % 7 = 1 THEN '' ELSE 'Acme Corp' END AS vendor_name FROM "
+    + _LENGTHS
+)
 _MODEL = (
     "SELECT doc_id, n, CASE WHEN n % 5 <> 0 AND n % 11 <> 3 THEN 'primary'"
     " WHEN n % 5 = 0 AND n % 20 <> 0 THEN 'backup' END AS served,"

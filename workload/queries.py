@@ -48,7 +48,7 @@ from docmill.streaming.quota import start_quota
 from docmill.streaming.storage import fresh_folder
 from workload import corpus
 from workload.corpus import SUFFIXES, mixed, render, table
-from workload.models import Stub
+from workload.models import Fragile, Stub
 
 AS_OF = dt.date(2026, 6, 1)
 PROCESSED = dt.datetime(2026, 6, 1, 12, 0, 0)
@@ -914,6 +914,21 @@ def infer_failover(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query
+def model_faults(spark: SparkSession, sf: str) -> DataFrame:
+    """A model whose answers nest too deep, are no text, or end the program for some documents."""
+    df = infer(model_docs(spark, sf), Fragile, ["spare"], SETTINGS, lanes=4)
+    df = payload.classification(df, "classify_payload")
+    df = payload.extraction(df.withColumn("last", F.element_at("attempts", -1)["payload"]), "last")
+    return df.select(
+        "job_id",
+        "document_type",
+        "classify_error",
+        F.array_join(F.transform("attempts", lambda a: F.coalesce(a["served_by"], a["error"])), ";").alias("attempts"),
+        F.coalesce("fields.vendor_name", F.lit("")).alias("vendor_name"),
+    )
+
+
 def shown_results(df: DataFrame) -> DataFrame:
     return df.select(
         "job_id", "status", "document_type", "route", "route_reason",
