@@ -291,9 +291,12 @@ def mixed_documents(
     keys = tuple(c for c in df.columns if c not in (text, source))
     rows = settled(dealt(df, keys, text, source, seed).select("source", "size", "roll"))
     plan = make_plan(rows, seed=seed, **given)
-    taken = with_times(with_block(rows, plan, seed)).dropDuplicates(["roll"])
-    places = settled(mixed_copies(taken, seed, shard_words).select("roll", "shard", "shuffle"))
+    # A row's roll leaves out its source: what two sources hold alike is taken for each of them.
+    taken = with_times(with_block(rows, plan, seed)).dropDuplicates(["number", "roll"])
+    places = settled(mixed_copies(taken, seed, shard_words).select("source", "roll", "shard", "shuffle"))
     whole = F.struct(*[column(c) for c in df.columns]).alias("whole")
-    out = df.select(whole, roll_of(keys, text, seed).alias("roll")).join(places.hint("merge"), "roll")
+    own = df.select(whole, roll_of(keys, text, seed).alias("own_roll"), column(source).cast("string").alias("own_source"))
+    same = (F.col("own_roll") == F.col("roll")) & F.col("own_source").eqNullSafe(F.col("source"))
+    out = own.join(places.hint("merge"), same)
     out = out.repartition("shard").sortWithinPartitions("shard", "shuffle", "roll")
     return out.select("whole.*")

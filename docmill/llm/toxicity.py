@@ -235,7 +235,7 @@ class Index:
         self.margin = (len(common) + 4) * 2.0**-23
         total = self.weights.sum() + sum(blank)
         toxic = (self.weights * self.labels).sum() + blank[1]
-        self.base = (toxic + 0.5) / (total + 1)
+        self.base = (toxic + 0.5) / (total + 1) if total else 0.0  # nothing labelled, nothing toxic
         self.blank = (blank[1] + self.base) / (sum(blank) + 1)
         self.slope, self.shift = 1.0, 0.0
 
@@ -411,7 +411,7 @@ def predict(
 
     The whole text is read. Texts without a word of any example, null and empty ones included,
     get the share of toxic examples among those without a word. Without any labelled row all
-    scores are 0.5 at most. Examples equally near are taken in the order of the index. Repeated
+    scores are 0, so nothing is predicted toxic. Examples equally near are taken in the order of the index. Repeated
     rows stay; an empty table gives an empty result; columns other than ``keep`` are not read."""
     shared = df.sparkSession.sparkContext.broadcast(index)  # bounded by the examples
 

@@ -75,3 +75,17 @@ def test_mixed_documents_and_empty(make_docs):
     assert abs(words - 1.5 * total) < 0.1 * total
     assert mixing.mix(make_docs([]))[0].collect() == []
     assert mixing.mixed_documents(make_docs([])).collect() == []
+
+
+def test_what_two_sources_hold_alike_is_taken_for_each(make_docs):
+    """The same ids and texts in a source that is taken once and in one that is taken twice."""
+    rng = random.Random(2)
+    alike = [(i, prose(rng, 20), None) for i in range(30)]
+    rows = [(*r, s) for r in alike for s in ("a", "b")]
+    rows += [(100 + i, prose(rng, 20), None, "a") for i in range(300)]
+    out = mixing.mixed_documents(make_docs(rows), weights=(1, 1), block_words=100, shard_words=900)
+    got = Counter((r.doc_id, r.source) for r in out.collect())
+    assert all(got[(i, "b")] == 2 for i in range(30))
+    taken = [got[(r[0], "a")] for r in rows if r[3] == "a"]
+    assert min(taken[:30]) == 1 and max(taken) <= 2
+    assert abs(20 * sum(taken) - (1.5 * 20 * len(rows) - 2 * 20 * 30)) <= 20
