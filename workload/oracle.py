@@ -927,6 +927,19 @@ ORACLE["whitelist_results"] = with_(
     " AND contains(lower(vendor_name), lower(s_name)))",
 )
 
+# Rules by time: the later half does not know one vendor.
+_LATER = "cast(split_part(job_id, '-', 2) AS BIGINT) % 1000 >= 500"
+_UNDER = with_(
+    *INVOICE_ALL,
+    ("d", RESULT_SQL),
+    final="SELECT job_id, status, route, route_reason, n_issues, 0::BIGINT AS rules_from FROM d",
+)
+_KNOWN = "contains(lower(vendor_name), 'globex')"
+ORACLE["rules_over_time"] = (
+    f"SELECT * FROM ({_UNDER}) WHERE NOT {_LATER} UNION ALL SELECT * REPLACE (500::BIGINT AS rules_from)"
+    f" FROM ({_UNDER.replace(_KNOWN, 'false')}) WHERE {_LATER}"
+)
+
 # Evaluation.
 EVAL_CTES = [
     *GOLDEN_CTES,

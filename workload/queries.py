@@ -11,6 +11,7 @@ import datetime as dt
 import shutil
 import tempfile
 from collections.abc import Callable
+from dataclasses import replace
 
 import docmill
 import workload
@@ -37,6 +38,7 @@ from docmill.operators.source_text import from_content, from_text
 from docmill.plans.documents import analyse, process_documents
 from docmill.plans.intake import intake, queued_jobs
 from docmill.plans.model import process_with_model
+from docmill.plans.versions import process_versioned
 from docmill.schemas import FIELDS, build_fields
 from docmill.settings import DEFAULT_RULES, SPARK_CONF, Settings
 from docmill.sources import documents as files
@@ -694,6 +696,21 @@ def route_documents(spark: SparkSession, sf: str) -> DataFrame:
     return analysed(spark, sf).select("job_id", "document_type", "route", "route_reason")
 
 
+@query
+def rules_over_time(spark: SparkSession, sf: str) -> DataFrame:
+    """Invoices of two times, the later one under rules that know one vendor less."""
+    k = F.element_at(F.split("job_id", "-"), 2).cast("bigint")
+    invoices = kind_docs(spark, sf, "invoice").withColumn("received_at", F.timestamp_seconds(k % 1000))
+    begin = dt.datetime(1970, 1, 1)
+    known = tuple(v for v in DEFAULT_RULES.vendor_whitelist if v != "Globex")
+    versions = [(begin, DEFAULT_RULES), (begin + dt.timedelta(seconds=500), replace(DEFAULT_RULES, vendor_whitelist=known))]
+    df = process_versioned(invoices, versions, SETTINGS, AS_OF, PROCESSED)
+    return df.select(
+        "job_id", "status", "route", "route_reason", big(F.size("validation_issues")).alias("n_issues"),
+        big(F.unix_seconds("rules_from")).alias("rules_from"),
+    )
+
+
 @query
 def document_results(spark: SparkSession, sf: str) -> DataFrame:
     return processed(spark, sf).select(
