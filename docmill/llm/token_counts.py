@@ -38,16 +38,16 @@ def split_pieces(text: str) -> list[str]:
 
 
 def batches(pieces: list[str], limit: int = BATCH_BYTES) -> list[list[str]]:
-    """Lists of pieces of about equal bytes: sorted by length, so that a batch is even."""
-    pieces = sorted(pieces, key=len)
+    """Lists of pieces of about equal bytes: sorted by size, so that a batch is even."""
+    sized = sorted((len(p) if p.isascii() else len(p.encode()), p) for p in pieces)
     out: list[list[str]] = [[]]
     held = 0
-    for piece in pieces:
-        if held + len(piece) > limit and out[-1]:
+    for size, piece in sized:
+        if held + size > limit and out[-1]:
             out.append([])
             held = 0
         out[-1].append(piece)
-        held += len(piece)
+        held += size
     return out
 
 

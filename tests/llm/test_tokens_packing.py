@@ -102,3 +102,10 @@ def test_pack_loses_nothing(spark, make_docs):
     whole = packing.pack(pieces, settled).collect()
     assert len({p.sequence_id for p in whole}) <= bound + 2
     assert packing.pack(packing.pieces_of(make_docs([]), WORDS), settled).collect() == []
+
+
+def test_batches_are_balanced_by_bytes():
+    pieces = [" " + "é" * n for n in range(1, 60)] + [" " + "a" * n for n in range(1, 60)] + [" " + "x" * 900]
+    found = token_counts.batches(pieces, 400)
+    assert sorted(p for b in found for p in b) == sorted(pieces)
+    assert all(sum(len(p.encode()) for p in b) <= 400 or len(b) == 1 for b in found)
