@@ -10,6 +10,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from docmill.llm.shared import settled
 
@@ -21,12 +22,17 @@ SAMPLE_NUMBERS = 4_000_000
 #: A vector is copied to at most so many lists whose centroids are nearly as near as its first.
 COPIES = 6
 COPY_RATIO = 1.10
-#: A query scans lists whose centroid is at most so many times as far as the nearest.
-SCAN_RATIO = 1.35
+#: A query scans lists whose centroid is at most so many times as far as the nearest. How many
+#: times is measured: so many queries are answered by brute force over all rows, and this share
+#: of their nearest rows has to lie in the lists. At least ``LEAST_LISTS`` are scanned.
+PROBES = 256
+FOUND = 0.975
 LEAST_LISTS = 8
-#: Centroids that a search holds; neighbours of a centroid in the graph.
+#: Centroids that a search holds at least; neighbours of a centroid in the graph.
 BEAM = 64
 DEGREE = 24
+#: Row pairs scored in double precision at once.
+PAIRS = 1 << 16
 #: Rows of one list, and queries, that meet in one task.
 CHUNK = 4096
 NEAREST = 5
@@ -110,10 +116,16 @@ def search(graph: Graph, x: np.ndarray, beam: int = BEAM, hops: int = 12) -> tup
     """The centroids nearest to each row: ids and distances, nearest first.
 
     All rows walk the graph together; in each hop a row looks at the neighbours of the
-    nearest centroids that it has not looked at yet."""
+    nearest centroids that it has not looked at yet. A search for more than an eighth of the
+    centroids compares with all of them, which is then the shorter way."""
     squares = (graph.centroids**2).sum(1)
     own = (x**2).sum(1)
     beam = min(beam, len(graph.centroids))
+    if beam * 8 > len(graph.centroids):
+        far = squares[None, :] - 2 * x @ graph.centroids.T
+        ids = np.argsort(far, axis=1, kind="stable")[:, :beam]
+        return ids, np.sqrt(np.maximum(np.take_along_axis(far, ids, 1) + own[:, None], 0))
+    hops = max(hops, math.ceil(beam / 6))
     ids = np.broadcast_to(graph.entries, (len(x), len(graph.entries)))
     far = squares[graph.entries][None, :] - 2 * x @ graph.centroids[graph.entries].T
     seen = np.zeros(ids.shape, bool)
@@ -190,14 +202,17 @@ def nearest(
     vector: str = "embedding",
     k: int = NEAREST,
     seed: int = 7,
-    scan_ratio: float = SCAN_RATIO,
+    found_share: float = FOUND,
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): for every row that ``queries`` holds for, the ``k``
     nearest other rows by cosine that its lists hold, ties to the smaller key.
 
     Centroids come from a bounded sample, halved into equal parts; all vectors are indexed.
     Vectors near a boundary are copied to several lists. A query finds its centroids on the
-    graph and scans the lists up to a ratio of distances. Rows that repeat a vector are one
+    graph and scans the lists up to a ratio of distances, which is measured: ``PROBES`` of the
+    queries meet all rows, and the ratio and the number of lists are such that ``found_share``
+    of their nearest rows lie in the lists scanned. Every row of those lists that can be among
+    the nearest is scored in double precision. Rows that repeat a vector are one
     entry with their ``k`` + 1 smallest keys, which is all that a result can show. Long lists
     are scanned in chunks, and so are many queries of one list.
 
@@ -208,9 +223,12 @@ def nearest(
     """
     spark = df.sparkSession
     asked = F.coalesce(queries, F.lit(False))
+    held = df.schema[vector].dataType
+    single = isinstance(getattr(held, "elementType", None), T.FloatType)
+    kind = "array<float>" if single else "array<double>"
     rows = df.select(
         F.col(f"`{key}`").cast("long").alias("vec_id"),
-        F.col(f"`{vector}`").cast("array<float>").alias("vector"),
+        F.col(f"`{vector}`").cast(kind).alias("vector"),
         asked.alias("asked"),
     )
     rows = rows.where(F.col("vec_id").isNotNull() & usable(F.col("vector"))).distinct()
@@ -225,7 +243,7 @@ def nearest(
     found = None
     for size in sorted(sizes):
         own = F.size("vector") == size
-        part = _nearest(spark, entries.where(own), rows.where(own & F.col("asked")), size, k, seed, scan_ratio)
+        part = _nearest(spark, entries.where(own), rows.where(own & F.col("asked")), size, k, seed, found_share)
         found = part if found is None else found.unionByName(part)
     if found is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
@@ -235,36 +253,93 @@ def nearest(
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
-def _nearest(spark, entries, queries, size, k, seed, scan_ratio) -> DataFrame:
+def probe_truth(entries: DataFrame, probes: np.ndarray, k: int) -> list:
+    """(probe, vector) of the ``k`` rows nearest to each probe among all, the probe's own vector
+    left out. Each task keeps the best of what it read, so it sends probes times ``k`` rows."""
+
+    def best(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sims = np.full((len(probes), k), -np.inf, np.float32)
+        kept = np.zeros((len(probes), k, probes.shape[1]), np.float32)
+        for frame in frames:
+            for at in range(0, len(frame), 4096):
+                x = unit(frame["vector"].iloc[at : at + 4096])
+                got = probes @ x.T
+                got[got > 1 - 1e-6] = -np.inf
+                place = np.argpartition(-got, min(k, len(x)) - 1, axis=1)[:, :k]
+                sims = np.concatenate([sims, np.take_along_axis(got, place, 1)], 1)
+                kept = np.concatenate([kept, x[place]], 1)
+                place = np.argsort(-sims, axis=1, kind="stable")[:, :k]
+                sims = np.take_along_axis(sims, place, 1)
+                kept = np.take_along_axis(kept, place[:, :, None], 1)
+        probe, place = np.nonzero(np.isfinite(sims))
+        yield pd.DataFrame({"probe": probe, "sim": sims[probe, place], "vector": list(kept[probe, place])})
+
+    near = entries.select("vector").mapInPandas(best, "probe long, sim float, vector array<float>")
+    order = Window.partitionBy("probe").orderBy(F.desc("sim"), "vector")
+    near = near.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
+    return near.select("probe", "vector").collect()  # at most PROBES * k rows
+
+
+def reach(graph: Graph, probes: np.ndarray, truth: list, found_share: float) -> tuple[float, int]:
+    """The ratio of distances up to which lists are scanned, and the most lists that lie within
+    it, so that ``found_share`` of the true nearest rows are in lists scanned."""
+    far = (graph.centroids**2).sum(1)[None, :] - 2 * probes @ graph.centroids.T
+    far = np.sqrt(np.maximum(far + (probes**2).sum(1)[:, None], 0))
+    ratio = far / np.maximum(far.min(1, keepdims=True), 1e-6)
+    if not truth:
+        return 1.0, LEAST_LISTS
+    probe = np.array([r["probe"] for r in truth])
+    own = lists_of(graph, np.array([r["vector"] for r in truth], np.float32))
+    need = np.where(own >= 0, ratio[probe[:, None], own], np.inf).min(1)
+    limit = float(np.quantile(need, found_share, method="higher"))
+    lists = int((ratio <= limit * (1 + 1e-5)).sum(1).max())
+    return limit * (1 + 1e-5), max(LEAST_LISTS, lists)
+
+
+def _nearest(spark, entries, queries, size, k, seed, found_share) -> DataFrame:
     total = entries.count()
     most = max(1, SAMPLE_NUMBERS // size)
-    sample = entries.select("vector").orderBy(F.xxhash64(F.lit(seed), "vector")).limit(most)
+    roll = F.xxhash64(F.lit(seed), "vector")
+    # Few more rows than the sample needs leave their tasks.
+    some = F.pmod(roll, F.lit(1 << 40)) <= int(min(1.0, (1.2 * most + 1000) / max(1, total)) * (1 << 40))
+    sample = entries.select("vector").where(some).orderBy(roll).limit(most)
     x = unit(sample.toPandas()["vector"])
     lists = max(1, min(MOST_LISTS, len(x), round(total / LIST_VECTORS)))
     graph = make_graph(balanced_centroids(x, lists, seed), seed)
-    shared = spark.sparkContext.broadcast(graph)  # at most MOST_LISTS rows
+    scan_ratio, beam = 1.0, LEAST_LISTS
+    if lists > LEAST_LISTS:
+        asked = queries.select("vector").orderBy(F.xxhash64(F.lit(seed + 1), "vec_id")).limit(PROBES)
+        asked = asked.toPandas()["vector"]
+        if len(asked):
+            probes = unit(asked)
+            scan_ratio, beam = reach(graph, probes, probe_truth(entries, probes, k), found_share)
+    # At most MOST_LISTS rows; a plain tuple, as workers may not have this module.
+    shared = spark.sparkContext.broadcast(tuple(graph))
 
     def assign(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        index = Graph(*shared.value)
         for frame in frames:
             for at in range(0, len(frame), 1024):
                 part = frame.iloc[at : at + 1024]
-                own = lists_of(shared.value, unit(part["vector"]))
+                own = lists_of(index, unit(part["vector"]))
                 row, place = np.nonzero(own >= 0)
                 yield part.iloc[row].assign(list=own[row, place])
 
     def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        index = Graph(*shared.value)
         for frame in frames:
-            for at in range(0, len(frame), 512):
-                part = frame.iloc[at : at + 512]
-                ids, far = search(shared.value, unit(part["vector"]))
+            for at in range(0, len(frame), 128):
+                part = frame.iloc[at : at + 128]
+                ids, far = search(index, unit(part["vector"]), max(beam, BEAM))
                 near = far <= scan_ratio * far[:, :1] + 1e-6
                 near[:, :LEAST_LISTS] = True
                 row, place = np.nonzero(near & np.isfinite(far))
                 yield part.iloc[row].assign(list=ids[row, place].astype(np.int64))
 
-    posted = settled(entries.mapInPandas(assign, "vector array<float>, ids array<long>, list long"))
+    kind = entries.schema["vector"].dataType.simpleString()
+    posted = settled(entries.mapInPandas(assign, f"vector {kind}, ids array<long>, list long"))
     asked = queries.select(F.col("vec_id").alias("query_id"), "vector")
-    asked = settled(asked.mapInPandas(scan, "query_id long, vector array<float>, list long"))
+    asked = settled(asked.mapInPandas(scan, f"query_id long, vector {kind}, list long"))
     chunks = posted.groupBy("list").agg(F.ceil(F.count("*") / CHUNK).alias("chunks"))
     blocks = asked.groupBy("list").agg(F.ceil(F.count("*") / CHUNK).alias("blocks"))
     cut = settled(chunks.join(blocks, "list"))  # at most MOST_LISTS rows
@@ -286,21 +361,25 @@ def _nearest(spark, entries, queries, size, k, seed, scan_ratio) -> DataFrame:
             return empty.astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
         raw_q, raw_v = np.stack(asked["vector"].to_numpy()), np.stack(posted["vector"].to_numpy())
         unit_q, unit_v = unit(asked["vector"]), unit(posted["vector"])
-        width = min(len(raw_v), 3 * k + 8)
+        held = posted["ids"].to_numpy()
+        width = min(len(raw_v), k + 1)  # the query's own vector may be one of them
+        # Twice what single precision can be off by, for two products of vectors of length 1.
+        slack = np.float32(4 * (size + 8) * 2.0**-24)
         out = []
-        for at in range(0, len(raw_q), 256):
-            near = -(unit_q[at : at + 256] @ unit_v.T)
-            near = np.argpartition(near, width - 1, axis=1)[:, :width]
-            q, v = np.repeat(np.arange(at, at + len(near)), width), near.ravel()
-            exact = scores(raw_q[q], raw_v[v])
+        for at in range(0, len(raw_q), 128):
+            near = unit_q[at : at + 128] @ unit_v.T
+            least = np.partition(near, -width, axis=1)[:, -width, None]
+            q, v = np.nonzero(near >= least - slack)
+            q += at
+            exact = [scores(raw_q[q[i : i + PAIRS]], raw_v[v[i : i + PAIRS]]) for i in range(0, len(q), PAIRS)]
+            times = np.array([len(held[i]) for i in v])
             part = pd.DataFrame(
                 {
-                    "query_id": asked["query_id"].to_numpy()[q],
-                    "vec_id": posted["ids"].to_numpy()[v],
-                    "score": exact,
+                    "query_id": np.repeat(asked["query_id"].to_numpy()[q], times),
+                    "vec_id": np.concatenate([held[i] for i in v]).astype(np.int64),
+                    "score": np.repeat(np.concatenate(exact), times),
                 }
             )
-            part = part.explode("vec_id").astype({"vec_id": "int64"})
             part = part[part["vec_id"] != part["query_id"]]
             part = part.sort_values(["query_id", "score", "vec_id"], ascending=[True, False, True])
             out.append(part.groupby("query_id").head(k))

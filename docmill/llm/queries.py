@@ -14,7 +14,11 @@ from docmill.llm.shared import learn_fold, settled
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
-ORACLE: dict[str, str] = {"op11_hard_negatives": sql.NEGATIVES, "op12_conversation_repair": sql.REPAIR}
+ORACLE: dict[str, str] = {
+    "op6_nearest_neighbours": sql.NEAREST,
+    "op11_hard_negatives": sql.NEGATIVES,
+    "op12_conversation_repair": sql.REPAIR,
+}
 
 
 def query(f: Query) -> Query:

@@ -54,3 +54,35 @@ def test_graph_search_finds_the_nearest():
     exact = ((x[:500, None] - centroids[None]) ** 2).sum(2)
     assert (ids[:, 0] == exact.argmin(1)).mean() > 0.98
     assert np.allclose(far[:, 0] ** 2, exact.min(1), atol=1e-3) or (ids[:, 0] != exact.argmin(1)).any()
+
+
+def test_equal_cosines_go_to_the_smaller_ids(spark):
+    base = np.random.default_rng(3).standard_normal(8).astype(np.float32)
+    rows = [(0, base.tolist(), 0, 1.0)]
+    rows += [(i, (base * np.float32(2.0 ** (i * 7 % 31 - 15))).tolist(), 0, 1.0) for i in range(1, 90)]
+    got = neighbours.nearest(table(spark, rows), F.col("vec_id") == 0).collect()
+    assert [r.vec_id for r in sorted(got, key=lambda r: r.rank)] == [1, 2, 3, 4, 5]
+
+
+def test_doubles_keep_their_digits(spark):
+    rows = [(0, [1.0, 0.0]), (1, [1.0, 1e-9]), (2, [1.0, 2e-5]), (3, [1.0, 1e-5]), (4, [1.0, 3e-5])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = neighbours.nearest(df, F.col("vec_id") == 0).collect()
+    assert [r.vec_id for r in sorted(got, key=lambda r: r.rank)] == [1, 3, 2, 4]
+
+
+def test_recall_without_clusters_beyond_the_beam(spark, monkeypatch):
+    # Directions without clusters, in many lists, some of them cut into chunks.
+    monkeypatch.setattr(neighbours, "LIST_VECTORS", 32)
+    monkeypatch.setattr(neighbours, "CHUNK", 100)
+    cols = [F.randn(i).cast("float") for i in range(24)]
+    df = spark.range(0, 6000, 1, 4).select(F.col("id").alias("vec_id"), F.array(*cols).alias("embedding"))
+    x = np.stack(df.orderBy("vec_id").toPandas()["embedding"].to_numpy()).astype(float)
+    got = neighbours.nearest(df, F.col("vec_id") % 20 == 0).toPandas()
+    by = got.groupby("query_id")["vec_id"].apply(set)
+    unit, hit = x / np.linalg.norm(x, axis=1, keepdims=True), 0
+    for q in range(0, 6000, 20):
+        sims = unit @ unit[q]
+        sims[q] = -9
+        hit += len(by[q] & set(np.argsort(-sims)[:5].tolist()))
+    assert hit >= 0.94 * 1500
