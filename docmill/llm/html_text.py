@@ -112,12 +112,29 @@ def parse(source: str) -> Page:
             pieces.clear()
         linked = 0
 
+    # Places of the open elements by name, and of those that are blocks: no search of the stack.
+    places: dict[str, list[int]] = {}
+    block_places = [0]
+
+    def push(name: str, node: int) -> None:
+        places.setdefault(name, []).append(len(stack))
+        if name in BLOCKS:
+            block_places.append(len(stack))
+        stack.append((name, node))
+
+    def last(names: frozenset | set | tuple) -> int:
+        return max((places[n][-1] for n in names if places.get(n)), default=0)
+
     def close(at: int) -> None:
         nonlocal links
-        if any(name in BLOCKS for name, _ in stack[at:]):
+        if block_places[-1] >= at:
             flush()
-        links -= sum(name == "a" for name, _ in stack[at:])
-        del stack[at:]
+        while len(stack) > max(at, 1):
+            name, _ = stack.pop()
+            places[name].pop()
+            if name in BLOCKS:
+                block_places.pop()
+            links -= name == "a"
 
     def add(text: str) -> None:
         nonlocal linked
@@ -126,12 +143,9 @@ def parse(source: str) -> Page:
             linked += len(text)
 
     def close_p() -> None:
-        for at in range(len(stack) - 1, 0, -1):
-            if stack[at][0] == "p":
-                close(at)
-                return
-            if stack[at][0] in KEEPS_P:
-                return
+        at = last(("p",))
+        if at > last(KEEPS_P):
+            close(at)
 
     position = 0
     while True:
@@ -148,12 +162,9 @@ def parse(source: str) -> Page:
             continue
         name = name.lower()
         if ending:
-            for at in range(len(stack) - 1, 0, -1):
-                if stack[at][0] == name:
-                    close(at)
-                    break
-                if name not in BLOCKS and stack[at][0] in BLOCKS:
-                    break
+            at = last((name,))
+            if at and (name in BLOCKS or block_places[-1] < at):
+                close(at)
             continue
         if name == "html":
             continue
@@ -169,13 +180,10 @@ def parse(source: str) -> Page:
             continue
         if name in CLOSES:
             closed, bounds = CLOSES[name]
-            for at in range(len(stack) - 1, 0, -1):
-                if stack[at][0] in bounds:
+            while (at := last(closed)) > last(bounds):
+                close(at)
+                if name != "tr":
                     break
-                if stack[at][0] in closed:
-                    close(at)
-                    if name != "tr":
-                        break
         if name in BLOCKS:
             flush()
             close_p()
@@ -185,11 +193,11 @@ def parse(source: str) -> Page:
             page.words.append(words)
             page.depths.append(page.depths[stack[-1][1]] + 1)
             if not rest.endswith("/") or name != "svg":
-                stack.append((name, len(page.tags) - 1))
+                push(name, len(page.tags) - 1)
         else:
             if name == "a":
                 links += 1
-            stack.append((name, stack[-1][1]))
+            push(name, stack[-1][1])
     close(0)
     flush_rest = pieces and " ".join(html.unescape("".join(pieces)).split())
     if flush_rest:
@@ -455,22 +463,27 @@ def extract(
     of every whole page. A choice is decoded along the tree; blocks of the nodes that stay are
     joined by empty lines, character references decoded and white space made one space. Null and
     empty pages, and pages without main text, give an empty text. Repeated rows stay; an empty
-    table gives an empty result; columns other than ``keep`` are not read."""
+    table gives an empty result; columns other than ``keep`` are not read, and one of those that
+    is called ``text`` or ``n_chars`` gives way to the result. Elements may nest to any depth: a
+    page takes time by its length alone."""
     short = df.select(F.col(f"`{text}`").alias("html")).where(F.length("html").between(1, SAMPLE_CHARS))
     short = short.withColumn("roll", F.xxhash64(F.lit(seed), "html"))
     # The smallest hashes are found without the pages, which then come by themselves.
     rolls = short.select("roll").distinct().orderBy("roll").limit(sample_pages)
     sample = short.join(F.broadcast(rolls), "roll").dropDuplicates(["roll"]).orderBy("roll")
-    model = df.sparkSession.sparkContext.broadcast(fit([r["html"] for r in sample.collect()], seed))
+    # A plain tuple, as workers may not have this module.
+    model = df.sparkSession.sparkContext.broadcast(tuple(fit([r["html"] for r in sample.collect()], seed)))
     fields = T.StructType(
         [T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())]
     )
 
     def start():
+        trees = Trees(*model.value)
+
         def work(sources: list) -> dict:
             pages = [parse(s or "") for s in sources]
             rows = [node_features(p) for p in pages]
-            odds = model.value.log_odds(np.concatenate(rows))
+            odds = trees.log_odds(np.concatenate(rows))
             texts, at = [], 0
             for page, own in zip(pages, rows):
                 kept = decode(page, odds[at : at + len(own)])
@@ -480,4 +493,4 @@ def extract(
 
         return work
 
-    return per_text(df, text, list(keep), fields, start)
+    return per_text(df, text, [c for c in keep if c not in fields.names], fields, start)

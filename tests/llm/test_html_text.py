@@ -1,3 +1,5 @@
+import time
+
 import numpy as np
 import pytest
 
@@ -81,3 +83,19 @@ def test_decoding_is_the_best_consistent_choice():
             if total > value:
                 best, value = kept, total
         assert html_text.decode(page, odds) == best
+
+
+@pytest.mark.parametrize("opened", ["<div>", "<b>", "<div><b>", "<li>", "<p><b>", "<table><td>", "<tr><td>", "<a>"])
+def test_deep_nesting_takes_linear_time(opened):
+    started = time.process_time()
+    deep = html_text.parse(opened * 100_000 + "text")
+    assert deep.blocks[-1][1] == "text"
+    closed = html_text.parse((opened + "</i></section>") * 50_000 + "text")
+    assert closed.blocks[-1][1] == "text"
+    assert time.process_time() - started < 20
+
+
+def test_kept_columns_with_the_names_of_results(spark):
+    df = spark.createDataFrame([(1, "x", "<p>Some text, here.")], "page_id long, text string, html string")
+    row = html_text.extract(df, keep=("page_id", "text")).collect()[0]
+    assert set(row.asDict()) == {"page_id", "text", "n_chars"} and row.text != "x"
