@@ -47,6 +47,17 @@ def test_language_held_out(make_docs):
     assert language.identify(make_docs([]), F.lit(True)).collect() == []
 
 
+def test_most_weights_of_features_seen_are_zero(make_docs):
+    rng = np.random.default_rng(4)
+    words = {la: ["".join(rng.choice(list(own), 6)) for _ in range(300)] for la, own in {"a": "abcdefgh", "b": "efghijkl"}.items()}
+    rows = [(i, " ".join(rng.choice(words["ab"[i % 2]], 40)), "ab"[i % 2], "s") for i in range(400)]
+    model = language.fit(make_docs(rows))
+    letters = language.letter_table()
+    seen = np.unique(np.concatenate([language.features(r[1], letters)[0] for r in rows]))
+    assert len(seen) > 500
+    assert 0.5 < (model.weights[seen] == 0).mean() < 1.0
+
+
 def test_leader_weights_are_sparse():
     rng = np.random.default_rng(2)
     rows, labels = [], []
@@ -54,7 +65,7 @@ def test_leader_weights_are_sparse():
         at = np.unique(rng.integers(0, 50, 8)) + 100 * (i % 2)
         rows.append((at, np.full(len(at), 1 / math.sqrt(len(at)))))
         labels.append(i % 2)
-    weights = language.follow_the_leader(rows, np.array(labels), 2, 1)
+    weights = language.follow_the_leader(rows, np.array(labels), 2, 1, 0.3)
     assert (weights == 0).mean() > 0.99
     assert all((x @ weights[at]).argmax() == y for (at, x), y in zip(rows, labels))
     logits = np.array([[4.0, 0.0]] * 90 + [[0.0, 4.0]] * 10)
