@@ -9,6 +9,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.group_ops import PandasCogroupedOps
 
 from docmill.llm.shared import settled, slices
 
@@ -26,8 +27,9 @@ SLACK = 0.1
 #: Rounds in which each set is compared with one central set of its buckets, before whatever
 #: is still open is compared block by block.
 HUB_ROUNDS = 2
-#: Members of a bucket, and partners of a hub, that meet in one task.
+#: Members of a bucket, and partners of a hub, that meet in one task, and bytes of their sets.
 BLOCK = 1024
+BLOCK_BYTES = 16 << 20
 #: A task forgets the words it has seen beyond so many.
 SEEN_WORDS = 2_000_000
 
@@ -287,12 +289,10 @@ def hub_pairs(rows: DataFrame, tested: DataFrame | None) -> DataFrame:
     return settled(best.select(F.col("best.hub").alias("hub"), "rep"))
 
 
-def block_pairs(rows: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
-    """Pairs of different components in one bucket whose estimate reaches the limit.
-
-    In each bucket the members outside its largest component meet all members; both are dealt
-    into blocks, and two blocks meet in a task. Only pairs that pass the estimate leave it."""
-    sizes = rows.groupBy("bucket", "comp").agg(F.count("*").alias("size"))
+def meetings(rows: DataFrame) -> PandasCogroupedOps:
+    """Cogroups of two blocks of one bucket: members outside its largest component (left) meet
+    all members (right). ``weight`` says which share of a block a member takes."""
+    sizes = rows.groupBy("bucket", "comp").agg(F.sum("weight").alias("size"))
     largest = sizes.groupBy("bucket").agg(
         F.max(F.struct("size", "comp")).alias("top"), F.sum("size").alias("all")
     )
@@ -300,15 +300,13 @@ def block_pairs(rows: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
         largest.select(
             "bucket",
             F.col("top.comp").alias("major"),
-            F.ceil((F.col("all") - F.col("top.size")) / BLOCK).alias("lefts"),
-            F.ceil(F.col("all") / BLOCK).alias("rights"),
+            F.greatest(F.ceil(F.col("all") - F.col("top.size")), F.lit(1)).alias("lefts"),
+            F.ceil("all").alias("rights"),
         )
     )
-    dealt = rows.select("bucket", "rep", "comp").join(largest, "bucket")
-    dealt = dealt.join(reps.select("rep", "n", "regs"), "rep")
-    dealt = dealt.withColumn("minor", F.col("comp") != F.col("major"))
-    dealt = settled(dealt.drop("major"))
-    every = "bucket", "rep", "comp", "minor", "n", "regs"
+    dealt = rows.drop("weight").join(largest, "bucket")
+    dealt = settled(dealt.withColumn("minor", F.col("comp") != F.col("major")).drop("major"))
+    every = [c for c in dealt.columns if c not in ("lefts", "rights")]
     left = dealt.where("minor").select(
         *every,
         F.pmod(F.xxhash64("rep"), "lefts").alias("left"),
@@ -319,26 +317,78 @@ def block_pairs(rows: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
         F.pmod(F.xxhash64("rep"), "rights").alias("r_right"),
         F.explode(F.expr("sequence(0L, lefts - 1)")).alias("r_left"),
     )
-
-    def meet(own: pd.DataFrame, others: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(own) and len(others):
-            regs = np.stack([np.frombuffer(r, np.uint16) for r in others["r_regs"]])
-            n, comp = others["r_n"].to_numpy(float), others["r_comp"].to_numpy()
-            rep, minor = others["r_rep"].to_numpy(), others["r_minor"].to_numpy(bool)
-            for one in own.itertuples():
-                ratio = np.minimum(one.n, n) / np.maximum(one.n, n)
-                # Two members outside the largest component meet twice; one meeting counts.
-                some = (comp != one.comp) & (100 * ratio >= percent) & (~minor | (rep < one.rep))
-                rest = np.flatnonzero(some)
-                if len(rest):
-                    mine = np.frombuffer(one.regs, np.uint16)
-                    out += [(one.rep, r) for r in rep[rest[near(regs[rest], n[rest], mine, one.n, percent)]]]
+    met = left.groupBy("bucket", "left", "right")
+    return met.cogroup(right.groupBy("r_bucket", "r_left", "r_right"))
+
+
+def partners(own: pd.DataFrame, others: pd.DataFrame, percent: int) -> Iterator[tuple]:
+    """For each row of one block its possible links in the other: those of another component
+    whose estimate reaches the limit. A pair that shares several buckets is one of the first."""
+    if not len(own) or not len(others):
+        return
+    regs = np.stack([np.frombuffer(r, np.uint16) for r in others["r_regs"]])
+    n, comp = others["r_n"].to_numpy(float), others["r_comp"].to_numpy()
+    rep, minor = others["r_rep"].to_numpy(), others["r_minor"].to_numpy(bool)
+    bands = regs.reshape(len(regs), BANDS, BAND)
+    for place, one in enumerate(own.itertuples()):
+        ratio = np.minimum(one.n, n) / np.maximum(one.n, n)
+        # Two members outside the largest component meet twice; one meeting counts.
+        rest = np.flatnonzero((comp != one.comp) & (100 * ratio >= percent) & (~minor | (rep < one.rep)))
+        if len(rest):
+            mine = np.frombuffer(one.regs, np.uint16)
+            shared = (bands[rest] == mine.reshape(BANDS, BAND)).all(2)
+            first = band_keys(mine[None, :])[0][shared.argmax(1)]
+            rest = rest[first == one.bucket]
+        if len(rest):
+            yield place, rest[near(regs[rest], n[rest], mine, one.n, percent)]
+
+
+def block_links(rows: DataFrame, reps: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (hub, rep) that connect whatever components of a bucket are linked.
+
+    Blocks of sketches first tell which members have a possible link at all. Blocks of these,
+    with their sets, verify the possible links in full, and pass over pairs that links found
+    before them connect. So no task gives more rows than it read."""
+    known = rows.select("bucket", "rep", "comp").join(reps.select("rep", "n", "regs"), "rep")
+
+    def tell(own: pd.DataFrame, others: pd.DataFrame) -> pd.DataFrame:
+        here, there = np.zeros(len(own), bool), np.zeros(len(others), bool)
+        for place, rest in partners(own, others, percent):
+            here[place] |= len(rest) > 0
+            there[rest] = True
+        ids = np.concatenate([own["rep"].to_numpy(np.int64)[here], others["r_rep"].to_numpy(np.int64)[there]])
+        ids = np.unique(ids)
+        bucket = own["bucket"].iloc[0] if len(ids) else 0
+        return pd.DataFrame({"bucket": np.full(len(ids), bucket, np.int64), "rep": ids})
+
+    told = meetings(known.withColumn("weight", F.lit(1 / BLOCK)))
+    told = told.applyInPandas(lambda a, b: tell(a, b), "bucket long, rep long").distinct()
+    whole = rows.select("bucket", "rep", "comp").join(told, ["bucket", "rep"]).join(sets, "rep")
+    whole = settled(whole)
+
+    def link(own: pd.DataFrame, others: pd.DataFrame) -> pd.DataFrame:
+        out: list[tuple[int, int]] = []
+        root: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while (up := root.get(x, x)) != x:
+                root[x] = x = root.get(up, up)
+            return x
+
+        comps, ids, items = (others[c].to_numpy() for c in ("r_comp", "r_rep", "r_items"))
+        for place, rest in partners(own, others, percent):
+            one = own.iloc[place]
+            mine = np.frombuffer(one["items"], np.uint64)
+            for at in rest:
+                a, b = find(int(one["comp"])), find(int(comps[at]))
+                if a != b and linked(np.frombuffer(items[at], np.uint64), mine, percent):
+                    root[a] = b
+                    out.append((int(one["rep"]), int(ids[at])))
         return pd.DataFrame(out, columns=["hub", "rep"], dtype="int64")
 
-    met = left.groupBy("bucket", "left", "right").cogroup(right.groupBy("r_bucket", "r_left", "r_right"))
-    found = met.applyInPandas(lambda a, b: meet(a, b), "hub long, rep long")
-    return settled(found.select(F.least("hub", "rep").alias("hub"), F.greatest("hub", "rep").alias("rep")).distinct())
+    share = F.greatest(F.lit(1 / BLOCK), F.length("items") / BLOCK_BYTES)
+    met = meetings(whole.withColumn("weight", share))
+    return settled(met.applyInPandas(lambda a, b: link(a, b), "hub long, rep long"))
 
 
 def near_duplicates(
@@ -381,9 +431,13 @@ def near_duplicates(
         waiting = open_buckets(members, comps)
         if waiting.isEmpty():
             break
-        pairs = hub_pairs(waiting, tested) if turn < HUB_ROUNDS else block_pairs(waiting, reps, percent)
-        tested = pairs if tested is None else tested.union(pairs)
-        comps = joined(comps, settled(verified(pairs, sets, percent)))
+        if turn < HUB_ROUNDS:
+            pairs = hub_pairs(waiting, tested)
+            tested = pairs if tested is None else tested.union(pairs)
+            links = settled(verified(pairs, sets, percent))
+        else:
+            links = block_links(waiting, reps, sets, percent)
+        comps = joined(comps, links)
     named_reps = named(reps.select("fp", "rep", "least"), comps)
     least = named_reps.groupBy("comp").agg(F.min("least").alias("component_id"))
     classes = settled(named_reps.join(least, "comp").select("fp", "component_id"))
