@@ -24,12 +24,22 @@ SUFFIXES = (
 
 
 def spread(rows: DataFrame) -> DataFrame:
-    """In a local session the tables are one file with one row group each, which a single core
-    would read; deal the rows out. On a cluster the scan's own partitions are used."""
-    context = rows.sparkSession.sparkContext
-    if rows.isStreaming or not context.master.startswith("local["):
+    """Rows dealt out evenly to as many tasks as a shuffle has, in a local session to its cores.
+
+    A table may be a few files with one row group each, however many rows they hold; a group is
+    read by one task, which would also do all the work on its documents. Only a table of at least
+    as many files as tasks keeps the scan's own partitions."""
+    if rows.isStreaming:
         return rows
-    return rows.repartition(context.defaultParallelism)
+    session = rows.sparkSession
+    context = session.sparkContext
+    if context.master.startswith("local["):
+        tasks = context.defaultParallelism
+    else:
+        tasks = int(session.conf.get("spark.sql.shuffle.partitions"))
+        if len(rows.inputFiles()) >= tasks:
+            return rows
+    return rows.repartition(max(tasks, rows.rdd.getNumPartitions()))
 
 
 def _s(expr: str) -> str:

@@ -49,7 +49,7 @@ from docmill.streaming.ingest import start_ingest
 from docmill.streaming.quota import start_quota
 from docmill.streaming.storage import fresh_folder
 from workload import corpus
-from workload.corpus import SUFFIXES, mixed, render, table
+from workload.corpus import SUFFIXES, mixed, render, spread, table
 from workload.models import Fragile, Stub
 
 AS_OF = dt.date(2026, 6, 1)
@@ -967,7 +967,7 @@ def model_files(spark: SparkSession, sf: str) -> DataFrame:
     """Files, every second one not text: the model gets their bytes and type."""
     text = F.regexp_replace("text", "\r\n?", "\n")
     odd = F.col("doc_id") % 2 == 1
-    files = table(spark, sf, "documents").select(
+    files = spread(table(spark, sf, "documents")).select(
         F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("job_id"),
         F.when(odd, F.lit("application/octet-stream")).otherwise(F.lit("text/plain")).alias("mime_type"),
         F.when(odd, F.encode(text, "UTF-16LE")).otherwise(F.encode(text, "UTF-8")).alias("content"),
