@@ -275,3 +275,25 @@ def test_lm_counts_come_from_all_learning_texts(make_docs):
         contexts = coder.contexts(symbols, own, np.array([0, 3]))
         word, node, _, _ = coder.expand(symbols)
         assert (model.known[lm.slot(contexts[-1][word], node)] > 0).all()
+
+
+def test_lm_weights_come_from_all_learning_texts(make_docs, spark):
+    """Every word of every text to learn from is a step of the weights, of long texts too."""
+    rows = [(i, " ".join(f"w{(i * k) % 97}" for k in range(1, 2500 if i < 4 else 6)), None, None) for i in range(1500)]
+    learn = F.col("doc_id") % 5 != 0
+    blocks = lm.settled(lm.blocks_of(make_docs(rows), learn, "text", ("doc_id",)))
+    hashes = np.sort(lm.word_hash([f"w{i}".encode() for i in range(60)]))
+    code = lm.huffman(np.ones(62))
+    tables = np.ones((lm.WORD_TABLES + lm.BYTE_TABLES, lm.SLOTS), np.float32)
+    known = np.zeros(lm.SLOTS, np.uint8)
+    weights = np.zeros((lm.GATES, lm.PREDICTORS)), np.zeros((8, lm.BYTE_TABLES))
+    model = lm.Model(hashes, np.arange(1, 61), code, tables, known, *weights)
+    coder = lm.Coder(*model[:3])
+    want = 0
+    for i, text, _, _ in rows:
+        if i % 5:
+            symbols = coder.symbols_of(lm.word_hash([w.encode() for w in text.split()] + [lm.END]))
+            want += len(coder.expand(symbols)[0])
+    shared = spark.sparkContext.broadcast(model)
+    found = [r for held in (False, True) for r in lm.weight_sums(blocks, shared, lm.HALF, held).collect()]
+    assert sum(r.seen for r in found if r.spelled == 0 and r.input == 0) == want
