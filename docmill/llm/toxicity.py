@@ -13,7 +13,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -239,15 +239,6 @@ class Index:
         self.blank = (blank[1] + self.base) / (sum(blank) + 1)
         self.slope, self.shift = 1.0, 0.0
 
-    def __getstate__(self) -> tuple:
-        """What the index is made from, which is much smaller than the index."""
-        return joined(self.terms), self.idf, self.examples, self.slope, self.shift
-
-    def __setstate__(self, state: tuple) -> None:
-        terms, idf, examples, slope, shift = state
-        self.__init__(list(numbered(terms)), idf, examples)
-        self.slope, self.shift = slope, shift
-
     def vector(self, counts: dict[int, int] | bytes | tuple) -> tuple[np.ndarray, np.ndarray]:
         """Terms, ascending, and weights of length 1."""
         at, times = counts if isinstance(counts, tuple) else unpacked(counts)
@@ -316,10 +307,8 @@ class Index:
         prior = PRIOR * self.base
         return float(((weight * self.labels[ids]).sum() + prior) / (weight.sum() + PRIOR))
 
-    def calibrate(self, most: int = 4000) -> None:
-        """A logistic curve over the votes that examples get from the others."""
-        step = max(1, len(self.ids) // most)
-        some = np.arange(0, len(self.ids), step)
+    def votes(self, some: np.ndarray) -> list[float]:
+        """The votes that these examples get from the others."""
         terms = np.repeat(np.arange(len(self.terms)), np.diff(self.starts))
         order = np.argsort(self.rows, kind="stable")
         ends = np.searchsorted(self.rows[order], np.arange(len(self.ids) + 1))
@@ -333,20 +322,7 @@ class Index:
                 values = np.concatenate([self.values[own], self.dense[i, whole]]).astype(np.float64)
                 queries.append((places, values))
             raw += [self.vote(*found) for found in self.nearest_of(queries, part)]
-        label, weight = self.labels[some], self.weights[some]
-        if len(set(label)) < 2:
-            return
-        x = np.log(np.clip(raw, 1e-4, 1 - 1e-4) / (1 - np.clip(raw, 1e-4, 1 - 1e-4)))
-        y, w = label, weight
-        features = np.stack([x, np.ones_like(x)], 1)
-        beta = np.array([1.0, 0.0])
-        for _ in range(30):
-            p = 1 / (1 + np.exp(-features @ beta))
-            g = features.T @ (w * (p - y)) + 0.01 * (beta - [1, 0])
-            h = (features * (w * p * (1 - p))[:, None]).T @ features + 0.01 * np.eye(2)
-            beta = beta - np.clip(np.linalg.solve(h, g), -2, 2)
-        if beta[0] > 0:
-            self.slope, self.shift = float(beta[0]), float(beta[1])
+        return raw
 
     def score(self, texts: list[tuple]) -> list[tuple[float, list[int], list[str]]]:
         """Score, nearest examples and the terms that weigh most, of each text's counts."""
@@ -363,8 +339,63 @@ class Index:
         return out
 
 
-def fit(docs: DataFrame, labels: DataFrame, learn: Column, seed: int = 7) -> Index:
-    """The index: examples a bounded sample of the labelled rows, as many of each label, weighed
+class Fitted:
+    """What an index is made from, which is much smaller than the index. Tasks make the index from
+    it, once per worker; the driver holds none."""
+
+    def __init__(self, terms: list[str], idf: np.ndarray, examples: list[tuple], slope: float = 1.0, shift: float = 0.0) -> None:
+        self.words, self.idf, self.examples, self.slope, self.shift = joined(terms), idf, examples, slope, shift
+
+    @property
+    def terms(self) -> list[str]:
+        return list(numbered(self.words))
+
+    def index(self) -> Index:
+        if "made" not in self.__dict__:
+            self.made = Index(self.terms, self.idf, self.examples)
+            self.made.slope, self.made.shift = self.slope, self.shift
+        return self.made
+
+    def __getstate__(self) -> dict:
+        return {name: value for name, value in self.__dict__.items() if name != "made"}
+
+
+def calibrate(spark: SparkSession, fitted: Fitted, most: int = 4000, tasks: int = 8) -> None:
+    """A logistic curve over the votes that examples get from the others; tasks count the votes."""
+    rows = sum(len(unpacked(counts)[0]) > 0 for _, _, counts, _ in fitted.examples)
+    step = max(1, rows // most)
+    shared = spark.sparkContext.broadcast(fitted)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        some = np.array([i for batch in batches for i in batch.column(0).to_pylist()], np.int64)
+        if not len(some):
+            return
+        own = shared.value.index()
+        columns = [some, np.array(own.votes(some), np.float64), own.labels[some], own.weights[some]]
+        yield pa.RecordBatch.from_arrays(list(map(pa.array, columns)), names=["place", "raw", "label", "weight"])
+
+    places = spark.range(0, rows, step, tasks)
+    found = places.mapInArrow(run, "place long, raw double, label double, weight double").collect()
+    shared.destroy()
+    found.sort()
+    raw, label, weight = (np.array([r[k] for r in found], np.float64) for k in (1, 2, 3))
+    if len(set(label)) < 2:
+        return
+    x = np.log(np.clip(raw, 1e-4, 1 - 1e-4) / (1 - np.clip(raw, 1e-4, 1 - 1e-4)))
+    y, w = label, weight
+    features = np.stack([x, np.ones_like(x)], 1)
+    beta = np.array([1.0, 0.0])
+    for _ in range(30):
+        p = 1 / (1 + np.exp(-features @ beta))
+        g = features.T @ (w * (p - y)) + 0.01 * (beta - [1, 0])
+        h = (features * (w * p * (1 - p))[:, None]).T @ features + 0.01 * np.eye(2)
+        beta = beta - np.clip(np.linalg.solve(h, g), -2, 2)
+    if beta[0] > 0:
+        fitted.slope, fitted.shift = float(beta[0]), float(beta[1])
+
+
+def fit(docs: DataFrame, labels: DataFrame, learn: Column, seed: int = 7) -> Fitted:
+    """What the index is made from: examples a bounded sample of the labelled rows, as many of each label, weighed
     by how many rows they stand for; all their terms, with document frequencies from all rows.
     A term's inverse frequency is multiplied by the evidence it gives of a label."""
     rows = settled(labelled(docs, labels, learn))
@@ -399,13 +430,13 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, seed: int = 7) -> Ind
     other = occurrences([t for t, y in zip(texts, marks) if y != 1], len(terms))
     idf *= evidence(toxic, held[1], other, len(marks) - held[1])
     examples = [(i, int(y == 1), t, sizes[y] / held[y]) for i, y, t in zip(ids, marks, texts)]
-    index = Index(terms, idf, examples)
-    index.calibrate()
-    return index
+    fitted = Fitted(terms, idf, examples)
+    calibrate(spark, fitted)
+    return fitted
 
 
 def predict(
-    df: DataFrame, index: Index, text: str = "text", keep: tuple[str, ...] = ("doc_id",)
+    df: DataFrame, index: Fitted, text: str = "text", keep: tuple[str, ...] = ("doc_id",)
 ) -> DataFrame:
     """``keep`` with score, predicted, the nearest examples and the terms that weigh most.
 
@@ -416,7 +447,7 @@ def predict(
     shared = df.sparkSession.sparkContext.broadcast(index)  # bounded by the examples
 
     def start():
-        own = shared.value
+        own = shared.value.index()
         known = Known({t: i for i, t in enumerate(own.terms)})
         seen: dict[bytes, tuple] = {}
 

@@ -297,3 +297,19 @@ def test_lm_weights_come_from_all_learning_texts(make_docs, spark):
     shared = spark.sparkContext.broadcast(model)
     found = [r for held in (False, True) for r in lm.weight_sums(blocks, shared, lm.HALF, held).collect()]
     assert sum(r.seen for r in found if r.spelled == 0 and r.input == 0) == want
+
+
+def test_the_driver_makes_no_index(make_docs, spark, monkeypatch):
+    """Tasks make the index and count the votes that the curve is fitted on."""
+    rows = [(i, f"{'vile' if i % 2 else 'kind'} word{i % 7} w{i}", None, None) for i in range(40)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int")
+
+    def made(*_):
+        raise AssertionError("an index on the driver")
+
+    with monkeypatch.context() as m:
+        m.setattr(toxicity.Index, "__init__", made)
+        fitted = toxicity.fit(make_docs(rows), labels, F.lit(True))
+    assert (fitted.slope, fitted.shift) != (1.0, 0.0)
+    found = toxicity.predict(make_docs(rows), fitted).collect()
+    assert all(r.predicted == r.doc_id % 2 for r in found)
