@@ -6,13 +6,15 @@ from __future__ import annotations
 import math
 import re
 import zlib
+from array import array
 from collections import Counter
 from collections.abc import Iterator
+from functools import cached_property
 from hashlib import blake2b
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,6 +24,8 @@ from docmill.llm.shared import per_text, settled, slices
 #: Letters and digits in a row; besides the word, its beginnings of these lengths are terms.
 TOKEN = re.compile(r"[^\W_]+")
 BEGINNINGS = (4, 5, 6)
+#: Bytes of UTF-8 with A-Z as a-z; what else in ASCII is no letter or digit is a blank.
+PLAIN = bytes(ord(chr(b).lower()) if b > 127 or chr(b).isalnum() else 32 for b in range(128)) + bytes(range(128, 256))
 #: Labelled documents that serve as examples, of each label.
 EXAMPLES = 8000
 #: The terms in most examples, whose weights are columns of a matrix in place of posting lists.
@@ -38,7 +42,7 @@ SHOWN = 3
 POWER = 4
 PRIOR = 0.5
 #: A task forgets the words it has seen beyond so many.
-SEEN_WORDS = 500_000
+SEEN_WORDS = 200_000
 #: Terms whose counts are one row while they are summed.
 CHUNK = 1 << 16
 FIELDS = T.StructType(
@@ -56,27 +60,42 @@ def terms_of(token: str) -> list[str]:
 
 
 class Known(dict):
-    """Numbers of the index terms that a word has, looked up once per word."""
+    """Numbers of the index terms that a piece of a text has, looked up once per piece. Pieces are
+    what ASCII separates, in UTF-8; other characters may separate words in a piece."""
 
     def __init__(self, numbers: dict[str, int]) -> None:
         self.numbers = numbers
 
-    def __missing__(self, token: str) -> tuple:
+    def __missing__(self, piece: bytes) -> bytes:
         if len(self) > SEEN_WORDS:
             self.clear()
-        found = tuple(self.numbers[t] for t in terms_of(token) if t in self.numbers)
-        self[token] = found
+        tokens = TOKEN.findall(piece.decode("utf-8", "surrogatepass").lower())
+        terms = [self.numbers[t] for token in tokens for t in terms_of(token) if t in self.numbers]
+        found = self[piece] = array("i", terms).tobytes()
         return found
 
 
+def pieces_of(text: str) -> list[bytes]:
+    """A text's pieces. Lower case is told from a piece alone, but for the capital sigma, whose
+    lower case depends on what surrounds it."""
+    if "\u03a3" in text:
+        text = text.lower()
+    return text.encode("utf-8", "surrogatepass").translate(PLAIN).split()
+
+
 def counts_of(text: str | None, known: Known) -> tuple[np.ndarray, np.ndarray]:
     """The index terms of the whole text, ascending, and how often each occurs."""
-    words = Counter(TOKEN.findall(text.lower())) if text else Counter()
+    words = Counter(pieces_of(text)) if text else Counter()
     found = [known[w] for w in words]
-    at = np.fromiter(chain.from_iterable(found), np.int64)
-    times = np.repeat(np.fromiter(words.values(), np.int64), np.fromiter(map(len, found), np.int64))
-    at, place = np.unique(at, return_inverse=True)
-    return at, np.bincount(place, times, len(at)).astype(np.int64)
+    at = np.frombuffer(b"".join(found), np.int32).astype(np.int64)
+    if not len(at):
+        return at, at
+    sizes = np.fromiter(map(len, found), np.int64, len(found)) >> 2
+    times = np.repeat(np.fromiter(words.values(), np.int64, len(found)), sizes)
+    both = np.sort(at << 32 | times)
+    at = both >> 32
+    first = np.flatnonzero(np.diff(at, prepend=-1))
+    return at[first], np.add.reduceat(both & 0xFFFFFFFF, first)
 
 
 def packed(at: np.ndarray, times: np.ndarray) -> bytes:
@@ -194,7 +213,7 @@ class Index:
     def __init__(self, terms: list[str], idf: np.ndarray, examples: list[tuple]) -> None:
         """``examples``: (doc_id, label, counts by term or packed, the label's weight in the
         votes)."""
-        self.terms, self.idf, self.examples = terms, idf, examples
+        self.terms, self.idf = terms, idf
         rows, held = [], np.zeros(len(terms), np.int64)
         blank = [0.0, 0.0]
         for doc_id, label, counts, weight in examples:
@@ -207,29 +226,51 @@ class Index:
         common = np.argsort(-held, kind="stable")[:COMMON]
         self.column = np.full(len(terms), -1, np.int64)
         self.column[common] = np.arange(len(common))
-        # Examples with the same commonest terms share blocks, which keeps the bounds tight.
-        columns = (self.column[unpacked(counts)[0]] for counts, *_ in rows)
-        leading = [np.sort(c[c >= 0])[:8].tolist() for c in columns]
-        rows = [rows[i] for i in sorted(range(len(rows)), key=lambda i: (leading[i], rows[i][1]))]
-        self.ids = np.array([r[1] for r in rows], np.int64)
-        self.labels = np.array([r[2] for r in rows], np.float64)
-        self.weights = np.array([r[3] for r in rows], np.float64)
         blocks = max(1, -(-len(rows) // BLOCK))
         self.dense = np.zeros((len(rows), len(common)), np.float32)
         self.most = np.zeros((blocks, len(common)), np.float32)
-        self.starts = np.concatenate([[0], np.cumsum(np.where(self.column < 0, held, 0))])
-        self.rows = np.zeros(self.starts[-1], np.int32)
-        self.values = np.zeros(self.starts[-1], np.float32)
-        free = self.starts[:-1].copy()
+        self.sizes = np.where(self.column < 0, held, 0)
+        starts = np.concatenate([[0], np.cumsum(self.sizes)])
+        places, free = np.zeros(starts[-1], np.int32), starts[:-1].copy()
+        # A posting is a place for the terms that an example holds equally often: there they weigh
+        # the same but for the term's own weight. An example's first place is its row, the others
+        # follow behind the rows.
+        shares, more, owners, leading = np.zeros(len(rows)), [], [], []
         for i, (counts, *_) in enumerate(rows):
-            at, values = self.vector(counts)
+            at, times = unpacked(counts)
+            values, length = self.weighed(at, times)
             column = self.column[at]
             own = column >= 0
-            self.dense[i, column[own]] = values[own]
-            place = free[at[~own]]
-            self.rows[place], self.values[place] = i, values[~own]
-            free[at[~own]] += 1
-        for k in range(0, len(rows), BLOCK):
+            self.dense[i, column[own]] = values[own] / length
+            leading.append(np.sort(column[own])[:8].tolist())
+            at, times = at[~own], times[~own]
+            if not len(at):
+                continue
+            often = np.sort(times)
+            often = often[np.flatnonzero(np.diff(often, prepend=0))]
+            which = np.searchsorted(often, times)
+            place = free[at]
+            places[place] = np.where(which, len(rows) + len(more) - 1 + which, i)
+            free[at] = place + 1
+            found = ((1 + np.log(often)) / length).tolist()
+            shares[i] = found[0]
+            more += found[1:]
+            owners += [i] * (len(found) - 1)
+        # Examples with the same commonest terms share blocks, which keeps the bounds tight.
+        order = np.array(sorted(range(len(rows)), key=lambda i: (leading[i], rows[i][1])), np.int64)
+        moved = np.empty(len(rows) + len(more), np.int32)
+        moved[order] = np.arange(len(rows))
+        moved[len(rows) :] = np.arange(len(rows), len(moved))
+        rows = [rows[i] for i in order]
+        self.counts = [r[0] for r in rows]
+        self.ids = np.array([r[1] for r in rows], np.int64)
+        self.labels = np.array([r[2] for r in rows], np.float64)
+        self.weights = np.array([r[3] for r in rows], np.float64)
+        self.dense = self.dense[order]
+        self.shares, self.owners = np.concatenate([shares[order], more]), moved[np.array(owners, np.int64)].astype(np.int64)
+        places = moved[places].tobytes()
+        self.rows = [places[4 * low : 4 * high] for low, high in zip(starts.tolist(), starts[1:].tolist())]
+        for k in range(0, len(self.ids), BLOCK):
             self.most[k // BLOCK] = self.dense[k : k + BLOCK].max(0)
         #: How far a product of rows in single precision may be from the exact one.
         self.margin = (len(common) + 4) * 2.0**-23
@@ -239,11 +280,20 @@ class Index:
         self.blank = (blank[1] + self.base) / (sum(blank) + 1)
         self.slope, self.shift = 1.0, 0.0
 
+    def weighed(self, at: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, float]:
+        """Weights of terms, and the length of the vector they make."""
+        values = (1 + np.log(times)) * self.idf[at]
+        return values, np.sqrt((values * values).sum())
+
     def vector(self, counts: dict[int, int] | bytes | tuple) -> tuple[np.ndarray, np.ndarray]:
         """Terms, ascending, and weights of length 1."""
         at, times = counts if isinstance(counts, tuple) else unpacked(counts)
-        values = (1 + np.log(times)) * self.idf[at]
-        return at, values / np.sqrt((values * values).sum())
+        values, length = self.weighed(at, times)
+        return at, values / length
+
+    @cached_property
+    def known(self) -> Known:
+        return Known({t: i for i, t in enumerate(self.terms)})
 
     def nearest(self, at: np.ndarray, values: np.ndarray, without: int = -1) -> tuple:
         return self.nearest_of([(at, values)], [without])[0]
@@ -263,37 +313,42 @@ class Index:
             own = column >= 0
             common[i, column[own]] = values[own]
             at, values = at[~own], values[~own]
-            low, high = self.starts[at], self.starts[at + 1]
-            if high.sum() > low.sum():
-                spans = list(map(slice, low.tolist(), high.tolist()))
-                rows = np.concatenate([self.rows[s] for s in spans])
-                parts = np.concatenate([self.values[s] for s in spans]) * np.repeat(values, high - low)
-                rare[i] = np.bincount(rows, parts, n)
+            hits = np.frombuffer(b"".join([self.rows[t] for t in at.tolist()]), np.int32)
+            if len(hits):
+                sums = np.bincount(hits, np.repeat(values * self.idf[at], self.sizes[at]), len(self.shares))
+                sums *= self.shares
+                rare[i] = sums[:n] + np.bincount(self.owners, sums[n:], n)
         for i, row in enumerate(without):
             if row >= 0:
                 rare[i, row] = -np.inf
         single = common.astype(np.float32)
         bounds = np.maximum.reduceat(rare, np.arange(0, n, BLOCK), 1) + single @ self.most.T + self.margin
-        about = np.full((len(queries), n), -np.inf)
+        about = np.full((len(queries), blocks * BLOCK), -np.inf)
 
         def add(chosen: np.ndarray) -> None:
             for k in np.flatnonzero(chosen.any(0)):
-                own, part = np.flatnonzero(chosen[:, k]), slice(k * BLOCK, (k + 1) * BLOCK)
+                own, part = np.flatnonzero(chosen[:, k]), slice(k * BLOCK, min((k + 1) * BLOCK, n))
                 about[own, part] = rare[own, part] + single[own] @ self.dense[part].T
 
-        def last() -> np.ndarray:
-            if n <= NEIGHBOURS:
-                return np.zeros(len(queries))
-            return np.maximum(np.partition(about, n - NEIGHBOURS, 1)[:, n - NEIGHBOURS], 0)
+        def last(scored: np.ndarray) -> np.ndarray:
+            """The last neighbour's similarity among these, by query."""
+            if n <= NEIGHBOURS or scored.shape[-1] < NEIGHBOURS:
+                return np.zeros(scored.shape[:-1])
+            at = scored.shape[-1] - NEIGHBOURS
+            return np.maximum(np.partition(scored, at, -1)[..., at], 0)
 
         first = np.zeros(bounds.shape, bool)
-        np.put_along_axis(first, np.argsort(-bounds, axis=1, kind="stable")[:, :AT_ONCE], True, 1)
+        best = np.argsort(-bounds, axis=1, kind="stable")[:, :AT_ONCE]
+        np.put_along_axis(first, best, True, 1)
         add(first)
+        scored = np.take_along_axis(about.reshape(len(queries), blocks, BLOCK), best[:, :, None], 1)
+        limits = last(scored.reshape(len(queries), -1))
         if blocks > AT_ONCE:
-            add(~first & (bounds >= last()[:, None] - self.margin))
+            add(~first & (bounds >= limits[:, None] - self.margin))
         out = []
-        for i, limit in enumerate(last()):
+        for i, limit in enumerate(limits):
             ids = np.flatnonzero(about[i] >= limit - 2 * self.margin)
+            ids = ids[about[i, ids] >= last(about[i, ids]) - 2 * self.margin]
             sims = rare[i, ids] + (self.dense[ids] * common[i]).sum(1)
             ids, sims = ids[sims > 0], sims[sims > 0]
             best = np.lexsort((ids, -sims))[:NEIGHBOURS]
@@ -309,19 +364,10 @@ class Index:
 
     def votes(self, some: np.ndarray) -> list[float]:
         """The votes that these examples get from the others."""
-        terms = np.repeat(np.arange(len(self.terms)), np.diff(self.starts))
-        order = np.argsort(self.rows, kind="stable")
-        ends = np.searchsorted(self.rows[order], np.arange(len(self.ids) + 1))
-        columns = np.argsort(np.where(self.column < 0, len(self.column), self.column), kind="stable")
         raw = []
         for at in range(0, len(some), QUERIES):
-            part, queries = some[at : at + QUERIES].tolist(), []
-            for i in part:
-                own, whole = order[ends[i] : ends[i + 1]], np.flatnonzero(self.dense[i])
-                places = np.concatenate([terms[own], columns[whole]])
-                values = np.concatenate([self.values[own], self.dense[i, whole]]).astype(np.float64)
-                queries.append((places, values))
-            raw += [self.vote(*found) for found in self.nearest_of(queries, part)]
+            part = some[at : at + QUERIES].tolist()
+            raw += [self.vote(*found) for found in self.nearest_of([self.vector(self.counts[i]) for i in part], part)]
         return raw
 
     def score(self, texts: list[tuple]) -> list[tuple[float, list[int], list[str]]]:
@@ -353,18 +399,23 @@ class Fitted:
     def index(self) -> Index:
         if "made" not in self.__dict__:
             self.made = Index(self.terms, self.idf, self.examples)
-            self.made.slope, self.made.shift = self.slope, self.shift
         return self.made
 
     def __getstate__(self) -> dict:
-        return {name: value for name, value in self.__dict__.items() if name != "made"}
+        return {name: value for name, value in self.__dict__.items() if name not in ("made", "sent")}
+
+    def shared(self, spark: SparkSession) -> Broadcast:
+        """Sent once, so that a worker that made the index for the curve has it for the scores."""
+        if "sent" not in self.__dict__:
+            self.sent = spark.sparkContext.broadcast(self)
+        return self.sent
 
 
 def calibrate(spark: SparkSession, fitted: Fitted, most: int = 4000, tasks: int = 8) -> None:
     """A logistic curve over the votes that examples get from the others; tasks count the votes."""
     rows = sum(len(unpacked(counts)[0]) > 0 for _, _, counts, _ in fitted.examples)
     step = max(1, rows // most)
-    shared = spark.sparkContext.broadcast(fitted)
+    shared = fitted.shared(spark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         some = np.array([i for batch in batches for i in batch.column(0).to_pylist()], np.int64)
@@ -376,7 +427,6 @@ def calibrate(spark: SparkSession, fitted: Fitted, most: int = 4000, tasks: int
 
     places = spark.range(0, rows, step, tasks)
     found = places.mapInArrow(run, "place long, raw double, label double, weight double").collect()
-    shared.destroy()
     found.sort()
     raw, label, weight = (np.array([r[k] for r in found], np.float64) for k in (1, 2, 3))
     if len(set(label)) < 2:
@@ -444,11 +494,12 @@ def predict(
     get the share of toxic examples among those without a word. Without any labelled row all
     scores are 0, so nothing is predicted toxic. Examples equally near are taken in the order of the index. Repeated
     rows stay; an empty table gives an empty result; columns other than ``keep`` are not read."""
-    shared = df.sparkSession.sparkContext.broadcast(index)  # bounded by the examples
+    shared = index.shared(df.sparkSession)  # bounded by the examples
+    curve = index.slope, index.shift
 
     def start():
         own = shared.value.index()
-        known = Known({t: i for i, t in enumerate(own.terms)})
+        own.slope, own.shift = curve
         seen: dict[bytes, tuple] = {}
 
         def work(texts: list) -> dict:
@@ -458,7 +509,7 @@ def predict(
             fresh = list({k: t for k, t in zip(keys, texts) if k not in seen}.items())
             for at in range(0, len(fresh), QUERIES):
                 part = fresh[at : at + QUERIES]
-                found = own.score([counts_of(t, known) for _, t in part])
+                found = own.score([counts_of(t, own.known) for _, t in part])
                 seen.update(zip([k for k, _ in part], found))
             found = [seen[k] for k in keys]
             return {

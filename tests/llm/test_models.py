@@ -1,5 +1,6 @@
 import math
 import random
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -249,6 +250,29 @@ def test_index_with_rare_and_common_terms_is_exact():
         assert np.allclose(sims, np.sort(want)[::-1][:32]) and np.allclose(want[index.ids[ids]], sims)
 
 
+def test_counts_are_those_of_lowered_words():
+    odd = [*ODD, "ΟΔΟΣ ΑΣ'Α Σ", "İSTANBUL Kelvin \u212a", "a_b-C3\x1cd\xa0É́e", "x²½ ﬀ ß ẞ", "l'été\u2019s", "É" * 5 + "_" + "É" * 7]
+    texts = [t for t in odd if t] + [" ".join(odd[-6:] * 3)]
+    for text in texts:
+        want = Counter(t for w in toxicity.TOKEN.findall(text.lower()) for t in toxicity.terms_of(w))
+        terms = sorted(want)
+        at, times = toxicity.counts_of(text, toxicity.Known({t: i for i, t in enumerate(terms)}))
+        assert {terms[i]: n for i, n in zip(at.tolist(), times.tolist())} == want
+        assert (np.diff(at) > 0).all()
+
+
+def test_votes_hold_no_copy_of_the_postings():
+    rng = np.random.default_rng(3)
+    terms, n = 60_000, 2000
+    examples = [(i, i % 2, dict.fromkeys(rng.choice(terms, 300, replace=False).tolist(), 1), 1.0) for i in range(n)]
+    index = toxicity.Index([f"t{i}" for i in range(terms)], np.ones(terms), examples)
+    tracemalloc.start()
+    votes = index.votes(np.arange(4))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(votes) == 4 and peak < 4 * 300 * n
+
+
 def test_lm_contexts_tell_two_words_and_four_bytes():
     code = lm.huffman(np.ones(200))
     coder = lm.Coder(np.arange(199), np.arange(1, 200), code)
