@@ -304,7 +304,7 @@ class Index:
         in those whose bound reaches the last neighbour found. Products in single precision
         choose; whatever they leave within their error is computed in double precision."""
         n, blocks = len(self.ids), len(self.most)
-        if not n:
+        if not n or not queries:
             return [(np.zeros(0, np.int64), np.zeros(0))] * len(queries)
         rare = np.zeros((len(queries), n))
         common = np.zeros((len(queries), self.dense.shape[1]))

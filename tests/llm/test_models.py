@@ -261,6 +261,15 @@ def test_counts_are_those_of_lowered_words():
         assert (np.diff(at) > 0).all()
 
 
+def test_texts_without_a_word_of_the_index():
+    """All texts of a batch may be without one."""
+    examples = [(i, i % 2, {i % 7: 1, 7 + i: 2}, 1.0) for i in range(40)]
+    index = toxicity.Index([f"t{i}" for i in range(47)], np.ones(47), examples)
+    none = toxicity.counts_of("!!", index.known)
+    assert index.score([none]) == [(index.blank, [], [])]
+    assert index.score([none, toxicity.counts_of("t3", index.known)])[1][1][0] == 3
+
+
 def test_votes_hold_no_copy_of_the_postings():
     rng = np.random.default_rng(3)
     terms, n = 60_000, 2000
