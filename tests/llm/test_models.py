@@ -346,3 +346,40 @@ def test_the_driver_makes_no_index(make_docs, spark, monkeypatch):
     assert (fitted.slope, fitted.shift) != (1.0, 0.0)
     found = toxicity.predict(make_docs(rows), fitted).collect()
     assert all(r.predicted == r.doc_id % 2 for r in found)
+
+
+def test_large_blocks_are_passed_as_often_as_small_ones(spark):
+    """The first weights of a block of many words are those of three passes, kept bits or not."""
+    rng = np.random.default_rng(6)
+    names = [b"a", b"bb", b"c", b"dd", b"e"]
+    text = " ".join(names[i].decode() for i in rng.choice(5, 210_000, p=[0.4, 0.3, 0.15, 0.1, 0.05]))
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    code = lm.huffman(np.array([1, 50, 30, 15, 10, 5, 1]))
+    hashes = lm.word_hash([*names, lm.END])
+    order = np.argsort(hashes)
+    tables = rng.standard_normal((lm.WORD_TABLES + lm.BYTE_TABLES, lm.SLOTS)).astype(np.float32)
+    model = lm.Model(
+        hashes[order], order + 1, code, tables, rng.integers(0, 3, lm.SLOTS).astype(np.uint8),
+        np.zeros((lm.GATES, lm.PREDICTORS)), np.zeros((8, lm.BYTE_TABLES)),
+    )
+    blocks = lm.blocks_of(df, F.lit(True), "text", ("doc_id",)).cache()
+    shared = spark.sparkContext.broadcast(model)
+    found = np.zeros((lm.GATES, lm.PREDICTORS))
+    for held in (True, False):
+        for r in lm.weight_sums(blocks, shared, 0.5, held).where("spelled = 0 and seen > 0").collect():
+            found[r.gate, r.input] = r.total / r.seen
+    row = blocks.first()
+    words, ids = lm.words_of(row), lm.ids_of(row)
+    coder = lm.Coder(*model[:3])
+    symbols = coder.symbols_of(lm.word_hash(words))
+    contexts = coder.contexts(symbols[ids], lm.word_hash(words)[ids], np.array([0, len(ids)]))
+    whole = [
+        lm.predictions(coder, tables, model.known, contexts[:, at : at + 50_000], symbols[ids[at : at + 50_000]])[1:]
+        for at in range(0, len(ids), 50_000)
+    ]
+    rates = (lm.FIRST_RATE, lm.FIRST_RATE, lm.FIRST_RATE / 4)
+    weights, met = lm.fit_weights(lambda: whole, lm.GATES, lm.PREDICTORS, lm.WORD_START, rates)
+    assert np.allclose(found[met > 0], weights[met > 0], atol=1e-9)
+    for most in (0, 6, 100):
+        parts = lm.kept_parts(lambda done: ([np.zeros(3, np.uint8)] for _ in range(done, 4)), most)
+        assert [len(list(parts())) for _ in range(3)] == [4, 4, 4]
