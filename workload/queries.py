@@ -150,14 +150,14 @@ def uploads(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def scan_documents(spark: SparkSession, sf: str) -> DataFrame:
     """The table's own files as documents: name, size, type and a digest of their bytes."""
-    found = files.scan_files(spark, sf, "*.parquet")
+    found = files.with_digest(files.scan_files(spark, sf, "*.parquet"), spark, sf, "*.parquet")
     return found.select(
         F.element_at(F.split("path", "/"), -1).alias("file"),
         "length",
         "mime_type",
         "is_text_type",
-        big(F.octet_length("content")).alias("bytes"),
-        F.md5("content").alias("md5"),
+        "bytes",
+        "md5",
     )
 
 
